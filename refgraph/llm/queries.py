@@ -2,20 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import encode_decode
+from .common import documents
 from .exact_dedup import exact_dedup
+from .fingerprint import containment, fingerprint_edits, likeness, spelled
+from .line_dedup import line_dedup
+from .mixing import mix
+from .secret_scan import scan
+from .sharding import shard
 
-_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+def _sha(text: str | Column) -> Column:
+    return F.sha2(F.encode(text, "utf-8"), 256)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(documents(spark, sf_dir))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", _sha("base").alias("base_sha256"), "spans")
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_edits(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_chars", _sha("edited").alias("edited_sha256"), spelled("sketch").alias("fingerprint"), spelled("edited_sketch").alias("edited_fingerprint"),
+        likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"),
+        containment("sketch", "edited_sketch").alias("held_by_edited"), containment("sketch", "next_sketch").alias("held_by_next"),
+    )
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", _sha("text").alias("kept_sha256"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_decode(documents(spark, sf_dir))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha(ids).alias("ids_sha256"), _sha("decoded").alias("decoded_sha256"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op9_exact_dedup,)}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shard(documents(spark, sf_dir))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_secret_scan, op6_fingerprint, op7_line_dedup, op8_bpe, op9_exact_dedup, op10_sharding)}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op3_mixing": r"""
+with rows as (
+  select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::bigint as size,
+         md5('0:' || coalesce(doc_id::varchar, '')) as key
+  from documents),
+sizes as (select source, sum(size)::bigint as source_size from rows group by source),
+placed as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight, row_number() over (order by source nulls last) as place from sizes),
+running as (
+  select *, sum(3 * source_size) over (order by 3 * source_size / weight, place) - 3 * source_size as capped,
+         sum(weight) over (order by 3 * source_size / weight, place) - weight as passed, sum(source_size) over () as total, sum(weight) over () as weights
+  from placed),
+leveled as (select *, (total - capped)::double / (weights - passed)::double as level from running),
+targeted as (
+  select source, source_size,
+         least(3.0 * source_size, coalesce(max(level) over (), 0.0) * weight)::double as target
+  from leveled),
+passes as (
+  select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as whole from targeted),
+quotas as (select *, round(target - whole * source_size)::bigint as rest from passes),
+placed_rows as (
+  select r.*, q.source_size, q.target, q.whole, q.rest, sum(r.size) over (partition by r.source order by r.key, r.doc_id, r.size rows unbounded preceding) - r.size as before
+  from rows r join quotas q on r.source is not distinct from q.source)
+select doc_id, size, source_size, target, (whole * size + least(size, greatest(0, rest - before)))::bigint as taken
+from placed_rows""",
+    "op7_line_dedup": rf"""
+with split as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
+keyed as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from split),
+common as (select key, max(doc_id) as keeper from keyed where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+marked as (select k.*, c.key is not null and k.doc_id <> c.keeper as dropped from keyed k left join common c on k.key = c.key)
+select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not dropped), '')) as kept_sha256
+from marked group by doc_id""",
     "op9_exact_dedup": f"""
 with norm as (select doc_id, {_LOWER} as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
