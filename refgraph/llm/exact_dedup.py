@@ -47,9 +47,8 @@ class DedupState:
         self.spark, self.dir, self.digest = spark, state_dir or work_dir(spark, "dedup-state"), digest
         self.id_col, self.text_col = id_col, text_col
 
-    def ingest(self, path: str, max_bytes: int = 64 << 30, max_files: int | None = None) -> None:
-        batch = self.spark.read.parquet(path)
-        stream = self.spark.newSession()
+    def _session(self) -> SparkSession:
+        session = self.spark.newSession()
         for key, value in {
             "spark.sql.shuffle.partitions": self.spark.conf.get("spark.sql.shuffle.partitions"),
             "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
@@ -58,8 +57,13 @@ class DedupState:
             "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
             "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
             "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores
         }.items():
-            stream.conf.set(key, value)
+            session.conf.set(key, value)
+        return session
+
+    def ingest(self, path: str, max_bytes: int = 64 << 30, max_files: int | None = None) -> None:
+        batch, stream = self.spark.read.parquet(path), self._session()
         limit = ("maxFilesPerTrigger", max_files) if max_files else ("maxBytesPerTrigger", str(max_bytes))
         source = stream.readStream.schema(batch.schema).option(*limit)
         folder, _, name = path.rstrip("/").rpartition("/")
@@ -73,11 +77,14 @@ class DedupState:
         run.awaitTermination()
 
     def read(self, id_type: T.DataType) -> DataFrame:
-        """The state as rows: digest, keep (id, file, row), n."""
-        raw = self.spark.read.format("statestore").load(self.dir)
+        """The state as rows of a written table: digest, keep (id, file, row), n."""
+        raw = self._session().read.format("statestore").load(self.dir)
         place, count = (f"value.`{name}`" for name in raw.schema["value"].dataType.names)
         keep = T.StructType([T.StructField("id", id_type), T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])
-        return raw.select(F.col("key").getField(raw.schema["key"].dataType.names[0]).alias("digest"), F.col(place).cast(keep).alias("keep"), F.col(count).alias("n"))
+        rows = raw.select(F.col("key").getField(raw.schema["key"].dataType.names[0]).alias("digest"), F.col(place).cast(keep).alias("keep"), F.col(count).alias("n"))
+        out = work_dir(self.spark, "dedup-kept")
+        rows.write.parquet(out)
+        return self.spark.read.schema(rows.schema).parquet(out)
 
 
 def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, state: DedupState | None = None, max_files: int | None = None, broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
@@ -85,7 +92,7 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     docs = spark.read.parquet(path)
     state = state or DedupState(spark, digest=digest, id_col=id_col, text_col=text_col)
     state.ingest(path, max_files=max_files)
-    kept = written(state.read(docs.schema[id_col].dataType), "dedup-kept")
+    kept = state.read(docs.schema[id_col].dataType)
     rows = _rows(docs, id_col, text_col, digest)
 
     hits = kept.where("n > 1").select("digest")
