@@ -9,6 +9,8 @@ from .bpe import encode_decode
 from .common import documents
 from .exact_dedup import exact_dedup
 from .fingerprint import containment, fingerprint_edits, likeness, spelled
+from .jaccard_join import jaccard_classes
+from .language_id import held_out, identify, learned
 from .line_dedup import line_dedup
 from .mixing import mix
 from .secret_scan import scan
@@ -19,6 +21,16 @@ def _sha(text: str | Column) -> Column:
     return F.sha2(F.encode(text, "utf-8"), 256)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = identify(docs.select("doc_id", "text"), learned(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -57,7 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_secret_scan, op6_fingerprint, op7_line_dedup, op8_bpe, op9_exact_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_mixing, op4_secret_scan, op6_fingerprint, op7_line_dedup, op8_bpe, op9_exact_dedup, op10_sharding)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
