@@ -424,6 +424,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near copies: of each class the row of the smallest id stays, and rows of null id stay where
+    their class has no other. Of rows that repeat an id one stays."""
+    classes = written(jaccard_classes(docs, id_col, text_col), "join-classes")
+    kept = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
+    kept = written(kept, "join-kept")
+    out = docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    if kept.where("__rows > 1 and __id is not null").isEmpty():
+        return out
+    return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(out.where(F.col(id_col).isNull()))
+
+
 def _blocks(left: DataFrame, texts: DataFrame, block: int, schema: pa.Schema, ddl: str) -> DataFrame:
     """The possible pairs of different classes in tiles, by pairs of blocks of a tile."""
     sizes = left.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))

@@ -28,6 +28,8 @@ SAMPLE, WINDOW = 256, 2000
 STEPS, BATCH, RATE = 200, 256, 0.02
 ROWS = 4096
 UNKNOWN = "und"
+#: Below this score the pipeline takes a text for none of the languages.
+LEAST_SCORE = 0.35
 
 
 class Network:
@@ -192,6 +194,11 @@ def identify(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame
     return rows.mapInArrow(run, schema)
 
 
+def recognised(docs: DataFrame, net: Network, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs in a language of the network, without those that it rejects: `und`, or a score below least."""
+    return identify(docs, net, text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*(f"`{c}`" for c in docs.columns))
+
+
 def held_out(id_col: str) -> Column:
     return F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")) % 3 == 1
 

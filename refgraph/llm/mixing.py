@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, written
+from .common import SPACE, words, written
 
 #: A source is taken at most so many times.
 MOST = 3
@@ -76,11 +76,11 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """Rows (id_col, source, size, source_size, target, taken, shards, key), one per row of docs. taken: words that the mix takes,
+    """Rows (id_col, source, size, source_size, target, taken, shards, key, of), one per row of docs; of: a hash of the text. taken: words that the mix takes,
     repeats counted. shards: the shard of each whole or cut copy. key: the order in a shard."""
     spark = docs.sparkSession
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("of"), n_words(F.col(text_col)).alias("size"), key.alias("key"))
     rows = rows.withColumn("block", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - BLOCK_BITS).cast("int"))
     rows = written(rows, "mix-rows")
 
@@ -113,5 +113,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shard = lambda p: F.size(F.filter("bounds", lambda b: b <= p * F.col("n_blocks") + F.col("block_rank")))
     return placed.withColumn("part", part).select(
         F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"),
-        F.when(copies > 0, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), shard)).otherwise(F.array().cast("array<int>")).alias("shards"), "key",
+        F.when(copies > 0, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), shard)).otherwise(F.array().cast("array<int>")).alias("shards"), "key", "of",
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
+    """The mix itself: the rows and columns of docs, each as often as it is taken. A copy that is cut holds the document's first
+    words, joined by one space."""
+    of = F.xxhash64(text_col)
+    marked = docs.withColumn("__of", of)
+    plan = mix(marked, id_col, text_col, source_col, seed=seed)
+    size = F.greatest(F.lit(1), F.col("size"))
+    plan = plan.groupBy(F.col(id_col).alias("__id"), F.col("of").alias("__same")).agg(
+        F.sum(F.floor(F.col("taken") / size)).alias("__whole"), F.collect_list(F.col("taken") % size).alias("__cut"), F.count(F.lit(1)).alias("__rows")
+    )
+    plan = written(plan, "mix-plan")
+    if not plan.where("__rows > 1").isEmpty():  # rows that repeat: their copies are counted together
+        marked = marked.dropDuplicates([id_col, "__of"])
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")), F.filter("__cut", lambda n: n > 0))
+    held = marked.join(plan, marked[id_col].eqNullSafe(plan["__id"]) & (marked["__of"] == plan["__same"])).withColumn("__take", F.explode(copies))
+    text = F.when(F.col("__take") < 0, F.col(text_col)).otherwise(F.array_join(F.slice(words(F.col(text_col)), F.lit(1), F.col("__take").cast("int")), " "))
+    return held.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -15,6 +15,11 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .secret_scan import scan
 from .sharding import shard
+from .token_counts import edited, with_trees
+
+
+#: op5 edits so many characters of each text.
+EDIT = 16
 
 
 def _sha(text: str | Column) -> Column:
@@ -40,6 +45,15 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", _sha("base").alias("base_sha256"), "spans")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text, and after an edit: EDIT characters from its middle on give way to its first EDIT ones."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    counted = with_trees(docs).withColumnsRenamed({"n_tokens": "tokens_before", "n_pieces": "pieces_before"})
+    middle = F.floor(F.char_length("text") / 2)
+    found = edited(counted.withColumns({"at": middle, "end": middle + EDIT, "insert": F.left("text", F.lit(EDIT))}), "at", "end", "insert")
+    return found.select("doc_id", F.col("tokens_before").alias("n_tokens"), F.col("pieces_before").alias("n_pieces"), F.col("n_tokens").alias("n_tokens_edited"), F.col("n_pieces").alias("n_pieces_edited"), "n_encoded")
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint_edits(documents(spark, sf_dir))
     return found.select(
@@ -69,7 +83,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_mixing, op4_secret_scan, op6_fingerprint, op7_line_dedup, op8_bpe, op9_exact_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_mixing, op4_secret_scan, op5_token_counts, op6_fingerprint, op7_line_dedup, op8_bpe, op9_exact_dedup, op10_sharding)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
