@@ -109,7 +109,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     in_block = Window.partitionBy("source", "block").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = joined(rows.withColumn("within", F.coalesce(F.sum("size").over(in_block), F.lit(0))), known, "source", "block")
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("before") - F.col("within")))
-    copies = F.col("passes") + (F.col("part") > 0).cast("long")
+    copies = F.when(F.col("size") > 0, F.col("passes") + (F.col("part") > 0).cast("long")).otherwise(F.lit(0))
     shard = lambda p: F.size(F.filter("bounds", lambda b: b <= p * F.col("n_blocks") + F.col("block_rank")))
     return placed.withColumn("part", part).select(
         F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"),
