@@ -2,10 +2,11 @@
 
 Documents are linked when their texts are equal; a group is kept as the tally of its members over shards, so that no pair is
 ever made. Documents start in shards dealt by hash. In each round every group joins its tally back to its members and pulls
-them towards the shard where most of their neighbours are, and a shard takes in only what its quota leaves: where more would
-come than there is room, a share of them by hash. Rows of one group are joined by group and shard, so a group of any size is
-spread over as many keys as it has shards. At the end the rows stand in order of shard, group and id, and that line is cut
-into even parts; it moves only what stands over the quotas, and cuts at most one group per border.
+them towards the shards where most of their neighbours are, as many shards as the group needs. A shard takes in only what its
+quota leaves: where more would come than there is room, a share of them by hash. Rows of one group are joined by group and
+shard, so a group of any size is spread over as many keys as it has shards. Documents without neighbours then fill the room
+that is left. At the end the rows stand in order of shard, group and id, and that line is cut into even parts; it moves only
+what stands over the quotas, and cuts at most one group per border.
 
 Nulls: a null text has no bytes and is equal to an empty one; a null id comes first in its group. Rows that repeat are rows of
 their own. With fewer rows than shards the last shards stay empty. An empty table gives an empty result.
@@ -13,32 +14,59 @@ their own. With fewer rows than shards the last shards stay empty. An empty tabl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 SHARDS, ROUNDS = 24, 3
-#: A group counts as settled where it is; a shard takes in as much as its own unsettled rows could make room for.
+#: A group wants so many times the shards it would fill alone, as smaller groups sit in them too.
+SLACK = 1.5
+#: Blocks of the final order: parts of a shard by group, and parts of these by row.
 GROUP_BLOCKS, ROW_BLOCKS = 256, 64
 
 
+def _lot(rows_key: str, salt: str) -> Column:
+    """A number from 0 to 1 by hash."""
+    return F.pmod(F.xxhash64(rows_key, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def _linked(rows: DataFrame, room: float, shards: int) -> DataFrame:
+    """(g1, g2, shard, n, targets) of groups of two or more: the shards that the group wants, as many as it needs."""
+    tally = rows.groupBy("g1", "g2", "shard").agg(F.count(F.lit(1)).alias("n"))
+    groups = tally.groupBy("g1", "g2").agg(F.sum("n").alias("size"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "shard"))).alias("by_size")).where("size > 1")
+    needed = F.least(F.lit(shards), F.ceil(SLACK * F.col("size") / F.lit(room))).cast("int")
+    return tally.join(groups.select("g1", "g2", F.slice(F.col("by_size.shard"), F.lit(1), needed).alias("targets")), ["g1", "g2"])
+
+
 def propagate(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
-    """rows: (id, g1, g2, u, shard, ...). Each round moves members of linked groups towards the group's largest part."""
-    total = rows.count()
-    room = total / shards
+    """rows: (id, g1, g2, u, shard, ...). Each round moves members of linked groups towards the group's largest parts."""
+    room = max(1.0, rows.count() / shards)
     for k in range(rounds):
-        tally = rows.groupBy("g1", "g2", "shard").agg(F.count(F.lit(1)).alias("n"))
-        linked = tally.groupBy("g1", "g2").agg(F.max(F.struct(F.col("n"), -F.col("shard"))).alias("most"), F.sum("n").alias("size")).where("size > 1")
-        pulls = tally.join(linked.select("g1", "g2", (-F.col("most")["col2"]).alias("to"), "size"), ["g1", "g2"])
-        stays = pulls.where("shard = to").groupBy("to").agg(F.sum("n").alias("settled"))
-        pulls = pulls.where("shard <> to")
-        quota = pulls.groupBy("to").agg(F.sum("n").alias("coming")).join(stays, "to").select("to", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.lit(room) - F.col("settled")) / F.col("coming"))).alias("share"))
-        moves = pulls.join(F.broadcast(quota), "to").where("share > 0").select("g1", "g2", "shard", "to", "share")  # quota: one row per shard
-        lot = F.pmod(F.xxhash64("u", F.lit(k)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        moved = rows.join(moves, ["g1", "g2", "shard"], "left").withColumn("shard", F.when(lot < F.col("share"), F.col("to")).otherwise(F.col("shard")))
-        rows = written(moved.select(*rows.columns), f"shard-round{k}")
-    return rows
+        linked = _linked(rows, room, shards)
+        settled = F.array_contains("targets", F.col("shard"))
+        quota = linked.withColumn("to", F.explode("targets")).groupBy("to").agg(
+            F.sum(F.when(F.col("shard") == F.col("to"), F.col("n"))).alias("settled"), F.sum(F.when(~settled, F.col("n") / F.size("targets"))).alias("coming")
+        )
+        share = [0.0] * shards
+        for r in quota.collect():  # one row per shard
+            share[r["to"]] = min(1.0, max(0.0, (room - (r["settled"] or 0)) / r["coming"])) if r["coming"] else 0.0
+        moves = linked.where(~settled).select("g1", "g2", "shard", "targets")
+        to = F.get("targets", F.pmod(F.xxhash64("u", F.lit(f"to {k}")), F.size("targets").cast("long")).cast("int"))
+        moved = rows.join(moves, ["g1", "g2", "shard"], "left").withColumn("to", to)
+        goes = F.coalesce(_lot("u", f"go {k}") < F.get(F.array(*map(F.lit, share)), F.col("to")), F.lit(False))
+        rows = written(moved.withColumn("shard", F.when(goes, F.col("to")).otherwise(F.col("shard"))).select(*rows.columns), f"shard-round{k}")
+
+    held = _linked(rows, room, shards).select("g1", "g2", "shard", "n")
+    full = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row per shard
+    free = [max(0.0, room - full.get(s, 0)) for s in range(shards)]
+    ends, at = [], 0.0
+    for f in free:
+        at += f / (sum(free) or 1.0)
+        ends.append(at)
+    fills = F.least(F.lit(shards - 1), F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= _lot("u", "fill"))))
+    rows = rows.join(held.select("g1", "g2", "shard", F.lit(True).alias("linked")), ["g1", "g2", "shard"], "left")
+    return written(rows.withColumn("shard", F.when(F.col("linked"), F.col("shard")).otherwise(fills).cast("int")).drop("linked"), "shard-filled")
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
