@@ -2,18 +2,20 @@
 
 Equal sets are one entity from the start, so copies never meet. For the others:
 
-1. count: all shingles of all documents are counted in one table of hashed counters (fixed size), which tells common
-   shingles from rare ones. It only orders shingles; results do not depend on it.
-2. tiles: two similar sets share a shingle among the first |set| - ceil(0.8 |set|) + 1 of each in any common order; here rare
-   ones come first, so boilerplate is reached only by sets that are made of it. Sets that share such a shingle and lie in the
-   same or the next size band form a tile (bands grow by 1.25, so similar sets are never further apart).
-3. stars: every tile first compares its members with one of them. What is linked then needs no more comparisons inside a
-   class, so a tile of n copies costs n comparisons. Tiles that still hold several classes get stars around other members.
-4. blocks: in the tiles that remain, all pairs of members of different classes are held against each other in blocks of
+1. count: all shingles of all documents are counted in one table of hashed counters (fixed size). It only orders shingles,
+   those of low counters first; results do not depend on it.
+2. tiles: two similar sets share a shingle among the first |set| - ceil(0.8 |set|) + 1 of each in any common order; with rare
+   ones first, boilerplate is reached only by sets that are made of it. Sets that share such a shingle and lie in the same or
+   the next size band form a tile (bands grow by 1.25, so similar sets are never further apart). Near copies share many
+   shingles, so tiles with the same smallest member are put together as one group: whatever pair has a tile has a group.
+3. stars: every member is first compared with the smallest member of one of its groups. What is linked then needs no more
+   comparisons inside a class, so n copies cost n comparisons. Groups that still hold several classes name another member in
+   a second round.
+4. blocks: in the groups that remain, all pairs of members of different classes are held against each other in blocks of
    bitmaps: bits of one set that the other lacks bound the overlap from above, and only pairs that stay possible go on.
 
 Every comparison first bounds the overlap by bit counts and then intersects the sorted hash arrays. Classes come from
-repeated contraction of the links by joins. No pair inside a class is made once the class is known, nothing is capped, and
+contraction of the links: by joins, or in one task while they are few. No pair inside a class is made once the class is known, nothing is capped, and
 a group of any size is spread: tiles by shingle, stars by member, blocks by block pair.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; fewer words than a shingle has make one shingle. Shingles and sets stand
@@ -39,11 +41,20 @@ SHINGLE = 5
 #: Similarity 0.8 as a fraction.
 NUM, DEN = 80, 100
 #: Counters of the shingle table: 2 to this power, 4 bytes each.
-COUNTER_BITS = 20
-STAR_ROUNDS = 3
-BLOCK = 256
+COUNTER_BITS = 22
+PARTS = 32
+STAR_ROUNDS = 2
+BLOCK = 1024
+#: Up to so many entities' hashes are broadcast to pick their texts (8 bytes each); more are joined by shuffle.
+BROADCAST_ENTITIES = 200_000
+#: Up to so many links (16 bytes each) are joined to classes by one task; more by rounds of joins.
+LINKS_OF_ONE_TASK = 1_000_000
+#: Documents hashed at once.
+ROWS = 1024
+#: Comparisons made at once, and sets that a task remembers between them.
+SLICE, REMEMBERED = 256, 2048
 #: Texts are hashed in pieces of about so many bytes.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -154,16 +165,15 @@ def band(size: int) -> int:
     return int(np.searchsorted(EDGES, size, side="right")) - 1
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles in the order rare before common, then by hash."""
+def prefix(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles in the order of their counters, then by hash."""
     n = len(shingles) - -(-len(shingles) * NUM // DEN) + 1
-    rare = shingles[~common]
-    return rare[:n] if len(rare) >= n else np.concatenate([rare, shingles[common][: n - len(rare)]])
+    return shingles[np.lexsort((shingles, counts))[:n]]
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """A hashed bitmap of at least four bits per shingle, a power of 2 long."""
-    bits = 1 << max(6, (4 * max(1, len(shingles)) - 1).bit_length())
+    """A hashed bitmap of at least three bits per shingle, a power of 2 long."""
+    bits = 1 << max(6, (3 * max(1, len(shingles)) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(shingles & _U(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -190,13 +200,19 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).to_pylist()]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << COUNTER_BITS, np.int32)
+    for batch in _slices(batches):
         for s in shingle_sets(_texts(batch, 0)):
-            np.add.at(counts, (s & _U((1 << COUNTER_BITS) - 1)).astype(np.int64), 1)
-    parts = counts.reshape(16, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["part", "counts"])
+            np.add.at(counts, (s & _U(len(counts) - 1)).astype(np.int64), 1)
+    for k, part in enumerate(counts.reshape(PARTS, -1)):
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(part.astype(np.int64).tobytes(), 1)], pa.binary())], names=["part", "counts"])
 
 
 def _add_counts(table: pa.Table) -> pa.Table:
@@ -204,13 +220,13 @@ def _add_counts(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def _sets(common, buckets: int, schema: pa.Schema):
-    """Rows of documents (bucket -1: id, n, ent, text packed), and packed prefixes by bucket (shingle, entity, band)."""
+def _sets(held, buckets: int, schema: pa.Schema):
+    """Rows of documents (bucket -1: id, of, n, ent, text packed), and packed prefixes by bucket (shingle, entity, band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, seen = np.unpackbits(np.frombuffer(zstandard.decompress(common.value), np.uint8)).view(bool), set()
-        mask, n_buckets = _U(len(often) - 1), _U(buckets)
-        for batch in batches:
+        counts, seen = np.frombuffer(zstandard.decompress(held.value), np.uint16), set()
+        mask, n_buckets = _U(len(counts) - 1), _U(buckets)
+        for batch in _slices(batches):
             texts = _texts(batch, 1)
             ns, ents, tokens, owners, sizes = [], [], [], [], []
             for s in shingle_sets(texts):
@@ -218,11 +234,11 @@ def _sets(common, buckets: int, schema: pa.Schema):
                 ents.append(e := entity(s))
                 if len(s) and e not in seen:
                     seen.add(e)
-                    tokens.append(first := prefix(s, often[(s & mask).astype(np.int64)]))
+                    tokens.append(first := prefix(s, counts[(s & mask).astype(np.int64)]))
                     owners.append(np.full(len(first), e, np.int64))
                     sizes.append(np.full(len(first), band(len(s)), np.uint8))
             packed = [zstandard.compress(t, 1) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(ns), pa.int32()), batch.column(0), pa.array(ns, pa.int64()), pa.array(ents, pa.int64()), pa.array(packed, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(ns), pa.int32()), batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(ents, pa.int64()), pa.array(packed, pa.binary())], schema=schema)
             if not tokens:
                 continue
             token, owner, size = np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes)
@@ -233,7 +249,7 @@ def _sets(common, buckets: int, schema: pa.Schema):
             used = [b for b in range(buckets) if ends[b + 1] > ends[b]]
             data = [token[ends[b] : ends[b + 1]].tobytes() + owner[ends[b] : ends[b + 1]].tobytes() + size[ends[b] : ends[b + 1]].tobytes() for b in used]
             none = [None] * len(used)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(none, schema.field("id").type), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(data, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(none, schema.field("id").type), *(pa.array(none, pa.int64()) for _ in range(3)), pa.array(data, pa.binary())], schema=schema)
 
     return run
 
@@ -266,7 +282,9 @@ def tiles(token: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return tile[good].view(np.int64), member[good], is_low[good]
 
 
-def _tile(schema: pa.Schema):
+def _group(schema: pa.Schema):
+    """Packed prefixes of a bucket to rows (grp, ent): the smallest member of a tile, and each member."""
+
     def run(table: pa.Table) -> pa.Table:
         tokens, owners, sizes = [], [], []
         for data in table.column("data").to_pylist():
@@ -274,75 +292,132 @@ def _tile(schema: pa.Schema):
             tokens.append(np.frombuffer(data, np.uint64, n))
             owners.append(np.frombuffer(data, np.int64, n, 8 * n))
             sizes.append(np.frombuffer(data, np.uint8, n, 16 * n))
-        tile, member, low = tiles(np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes))
-        if len(tile):  # tiles of the same members are one tile
-            first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-            length = np.diff(np.concatenate([first, [len(tile)]]))
-            both = np.add.reduceat(mixed(member.view(np.uint64) * _U(2) + low.astype(np.uint64)), first)
-            _, keep = np.unique(both, return_index=True)
-            chosen = np.zeros(len(first), bool)
-            chosen[keep] = True
-            chosen = np.repeat(chosen, length)
-            tile, member, low = tile[chosen], member[chosen], low[chosen]
-        return pa.table([pa.array(tile, pa.int64()), pa.array(member, pa.int64()), pa.array(low)], schema=schema)
+        tile, member, _ = tiles(np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes))
+        if not len(tile):
+            return pa.table([pa.array([], pa.int64())] * 2, schema=schema)
+        first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+        least = np.repeat(np.minimum.reduceat(member, first), np.diff(np.concatenate([first, [len(tile)]])))
+        order = np.lexsort((member, least))
+        least, member = least[order], member[order]
+        new = np.concatenate([[True], (least[1:] != least[:-1]) | (member[1:] != member[:-1])])
+        return pa.table([pa.array(least[new], pa.int64()), pa.array(member[new], pa.int64())], schema=schema)
 
     return run
 
 
-def _compare(schema: pa.Schema):
-    """Rows (a, b, text_a, text_b) in order of b: the similar pairs."""
+def _mark(schema: pa.Schema):
+    """Rows (ent, text) to (ent, n, bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left = list(shingle_sets([zstandard.decompress(t) for t in batch.column(2).to_pylist()]))
-            linked = []
-            for k, other in enumerate(b):
-                if other != last:
-                    s = next(shingle_sets([zstandard.decompress(batch.column(3)[k].as_py())]))
-                    last, held = other, (s, bitmap(s))
-                s, bits = held
-                t = left[k]
-                if possible(len(t), bitmap(t), len(s), bits) and similar(len(t), len(s), len(np.intersect1d(t, s, assume_unique=True))):
-                    linked.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in linked], pa.int64()), pa.array([b[k] for k in linked], pa.int64())], schema=schema)
+            sets = list(shingle_sets([zstandard.decompress(t) for t in batch.column(1).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], schema=schema)
+
+    return run
+
+
+def _bound(schema: pa.Schema):
+    """Rows (a, b, n_a, bits_a, n_b, bits_b): the pairs that bit counts leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, bits_a, n_b, bits_b = (c.to_pylist() for c in batch.columns)
+            left = [k for k in range(len(a)) if possible(n_a[k], np.frombuffer(bits_a[k], np.uint64), n_b[k], np.frombuffer(bits_b[k], np.uint64))]
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in left], pa.int64()), pa.array([b[k] for k in left], pa.int64())], schema=schema)
+
+    return run
+
+
+def _compare(schema: pa.Schema):
+    """Rows (a, b, text_a, text_b): the similar pairs, by intersection of the sorted arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def sets(ent: list[int], text: list[bytes]) -> list[np.ndarray]:
+            new = {e: t for e, t in zip(ent, text, strict=True) if e not in held}
+            held.update(zip(new, shingle_sets([zstandard.decompress(t) for t in new.values()]), strict=True))
+            return [held[e] for e in ent]
+
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                a, b, text_a, text_b = (c.to_pylist() for c in whole.slice(k, SLICE).columns)
+                if len(held) > REMEMBERED:
+                    held.clear()
+                linked = [n for n, (s, t) in enumerate(zip(sets(a, text_a), sets(b, text_b), strict=True)) if similar(len(s), len(t), len(np.intersect1d(s, t, assume_unique=True)))]
+                yield pa.RecordBatch.from_arrays([pa.array([a[n] for n in linked], pa.int64()), pa.array([b[n] for n in linked], pa.int64())], schema=schema)
 
     return run
 
 
 def _block(schema: pa.Schema):
-    """Members of one tile's block pair: the pairs of different classes that bit counts leave possible."""
+    """Rows (grp, p, q, side, ent, class, n, bits) in order of (grp, p, q), at most two blocks each: the pairs of different
+    classes that bit counts leave possible. side: 0 of block p, 1 of block q, 2 if they are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+
+        def pairs() -> pa.RecordBatch:
+            side, ent, cls, n = (np.array([r[c] for r in held]) for c in ("side", "ent", "class", "n"))
+            bits = [np.frombuffer(r["bits"], np.uint64) for r in held]
+            width = min(map(len, bits))
+            field = np.stack([folded(x, width) for x in bits])
+            j, out_a, out_b = np.flatnonzero(side != 0), [], []
+            for x in np.flatnonzero(side != 1).tolist():
+                ys = j[j > x] if side[x] == 2 else j
+                ys = ys[cls[ys] != cls[x]]
+                mine = n[x] - np.bitwise_count(field[x] & ~field[ys]).sum(axis=1).astype(np.int64)
+                theirs = n[ys] - np.bitwise_count(field[ys] & ~field[x]).sum(axis=1).astype(np.int64)
+                most = np.minimum(mine, theirs)
+                for y in ys[DEN * most >= NUM * (n[x] + n[ys] - most)].tolist():
+                    if possible(int(n[x]), bits[x], int(n[y]), bits[y]):
+                        out_a.append(max(ent[x], ent[y]))
+                        out_b.append(min(ent[x], ent[y]))
+            return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=schema)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (at := (row["grp"], row["p"], row["q"])) != key:
+                    if held:
+                        yield pairs()
+                    held, key = [], at
+                held.append(row)
+        if held:
+            yield pairs()
+
+    return run
 
-    def run(table: pa.Table) -> pa.Table:
-        ent, cls, side, low = (np.array(table.column(c)) for c in ("ent", "class", "side", "low"))
-        sets = list(shingle_sets([zstandard.decompress(t) for t in table.column("text").to_pylist()]))
-        n, bits = np.array([len(s) for s in sets], np.int64), [bitmap(s) for s in sets]
-        width = min(map(len, bits))
-        field = np.stack([folded(b, width) for b in bits])
-        i, j = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        one_block = bool((side == 2).all())
-        out_a, out_b = [], []
-        for x in i.tolist():
-            ys = j[j > x] if one_block else j
-            ys = ys[(cls[ys] != cls[x]) & (low[ys] | low[x])]
-            if not len(ys):
-                continue
-            mine = n[x] - np.bitwise_count(field[x] & ~field[ys]).sum(axis=1).astype(np.int64)
-            theirs = n[ys] - np.bitwise_count(field[ys] & ~field[x]).sum(axis=1).astype(np.int64)
-            most = np.minimum(mine, theirs)
-            for y in ys[DEN * most >= NUM * (n[x] + n[ys] - most)].tolist():
-                if possible(n[x], bits[x], n[y], bits[y]):
-                    out_a.append(max(ent[x], ent[y]))
-                    out_b.append(min(ent[x], ent[y]))
-        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=schema)
+
+def _united(schema: pa.Schema):
+    """All links (a, b) to (node, class), class being the smallest node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while up.setdefault(top, top) != top:
+                top = up[top]
+            while up[x] != top:
+                up[x], x = top, up[x]
+            return top
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(n) for n in nodes], pa.int64())], schema=schema)
 
     return run
 
 
-def contracted(links: DataFrame) -> DataFrame:
-    """Classes (node, class) of the nodes in links (a, b): nodes take their smallest neighbour, and the links between what
-    they took are contracted again, until none is left. class is a node of the class."""
+def contracted(links: DataFrame, schema: pa.Schema, one_task: int = LINKS_OF_ONE_TASK) -> DataFrame:
+    """Classes (node, class) of the nodes in links (a, b). Links that are few, which is checked, are united in one task.
+    Otherwise nodes take their smallest neighbour, and the links between what they took are contracted again, until none is
+    left. class is a node of the class, the same for all of it."""
+    if links.limit(one_task + 1).count() <= one_task:
+        return written(links.select("a", "b").repartition(1).mapInArrow(_united(schema), "node long, class long"), "links-classes")
     edges = written(links.select("a", "b").where("a <> b").distinct(), "links")
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("class", F.col("node"))
     while not edges.isEmpty():
@@ -355,97 +430,107 @@ def contracted(links: DataFrame) -> DataFrame:
     return labels
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = STAR_ROUNDS, block: int = BLOCK) -> DataFrame:
-    """Rows (id_col, n_shingles, component_id), one per row of docs; component_id is the smallest id of the class."""
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = STAR_ROUNDS, block: int = BLOCK, one_task: int = LINKS_OF_ONE_TASK) -> DataFrame:
+    """Rows (id_col, n_shingles, component_id, class, of), one per row of docs: the smallest id of the class, the class (null for an
+    empty set), and a hash of the text."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
     arrow = lambda ddl: to_arrow_schema(spark.createDataFrame([], ddl).schema)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(id_col).alias("id"), F.encode(text_col, "utf-8").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.encode(text_col, "utf-8").alias("text"), F.xxhash64(text_col).alias("of"))
 
     counts = rows.select("text").mapInArrow(_count, "part int, counts binary").groupBy("part").applyInArrow(_add_counts, "part int, counts binary")
-    parts = {r["part"]: np.frombuffer(zstandard.decompress(r["counts"]), np.int64) for r in counts.collect()}  # 16 rows, 8 MB
-    table = np.concatenate([parts[k] for k in range(16)]) if parts else np.zeros(1 << COUNTER_BITS, np.int64)
-    common = spark.sparkContext.broadcast(zstandard.compress(np.packbits(table > max(64, 4 * int(table.mean()))).tobytes(), 1))
+    parts = {r["part"]: np.frombuffer(zstandard.decompress(r["counts"]), np.int64) for r in counts.collect()}  # 4 M counters, whatever the input
+    table = np.concatenate([parts[k] for k in range(PARTS)]) if parts else np.zeros(1 << COUNTER_BITS, np.int64)
+    table = table * 60_000 // max(60_000, int(table.max()))
+    held = spark.sparkContext.broadcast(zstandard.compress(table.astype(np.uint16).tobytes(), 1))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    packed_schema = f"bucket int, id {kind}, n long, ent long, data binary"
-    packed = written(rows.mapInArrow(_sets(common, buckets, arrow(packed_schema)), packed_schema), "join-sets")
-    known = packed.where("bucket < 0").select("id", "n", "ent")
-
-    tile_schema = "tile long, ent long, low boolean"
-    members = packed.where("bucket >= 0").select("bucket", "data").groupBy("bucket").applyInArrow(_tile(arrow(tile_schema)), tile_schema)
-    members = written(members, "join-tiles")
-    texts = packed.where("bucket < 0 and n > 0").select("ent", F.col("data").alias("text")).join(members.select("ent").distinct(), "ent", "left_semi")
+    packed_schema = f"bucket int, id {kind}, of long, n long, ent long, data binary"
+    packed = written(rows.mapInArrow(_sets(held, buckets, arrow(packed_schema)), packed_schema), "join-sets")
+    known = packed.where("bucket < 0").select("id", "of", "n", "ent")
+
+    group_schema = "grp long, ent long"
+    members = packed.where("bucket >= 0").select("bucket", "data").groupBy("bucket").applyInArrow(_group(arrow(group_schema)), group_schema)
+    members = written(members.distinct(), "join-groups")
+    wanted = members.select("ent").distinct()
+    few = wanted.limit(BROADCAST_ENTITIES + 1).count() <= BROADCAST_ENTITIES
+    texts = packed.where("bucket < 0 and n > 0").select("ent", F.col("data").alias("text")).join(F.broadcast(wanted) if few else wanted, "ent", "left_semi")
     texts = written(texts.groupBy("ent").agg(F.first("text").alias("text")), "join-texts")
 
     pair_schema = "a long, b long"
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        held = pairs.join(texts.withColumnsRenamed({"ent": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"ent": "b", "text": "text_b"}), "b")
-        held = held.select("a", "b", "text_a", "text_b").sortWithinPartitions("b")
-        return held.mapInArrow(_compare(arrow(pair_schema)), pair_schema)
+    mark_schema = "ent long, n long, bits binary"
+    marks = written(texts.mapInArrow(_mark(arrow(mark_schema)), mark_schema), "join-marks")
+
+    def both(pairs: DataFrame, table: DataFrame, *values: str) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(table.withColumnsRenamed({"ent": side, **{v: f"{v}_{side}" for v in values}}), side)
+        return pairs.select("a", "b", *(f"{v}_{side}" for side in ("a", "b") for v in values))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        left = written(both(pairs, marks, "n", "bits").mapInArrow(_bound(arrow(pair_schema)), pair_schema), f"{name}-possible")
+        return both(left, texts, "text").mapInArrow(_compare(arrow(pair_schema)), pair_schema)
 
     classes = spark.createDataFrame([], "node long, class long")
     links: DataFrame | None = None
     left = members.withColumn("class", F.col("ent"))
     tested: DataFrame | None = None
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        found = rows.join(classes, rows["ent"] == classes["node"], "left")
-        return found.select("tile", "ent", "low", F.coalesce("class", "ent").alias("class"))
-
     for k in range(star_rounds + 1):
         if k:
-            left = labelled(left.select("tile", "ent", "low"))
-            mixed_up = left.groupBy("tile").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("tile")
-            left = written(left.join(mixed_up, "tile", "left_semi"), f"join-left{k}")
+            found = left.drop("class").join(classes, left["ent"] == classes["node"], "left")
+            found = found.select("grp", "ent", F.coalesce("class", "ent").alias("class"))
+            mixed_up = found.groupBy("grp").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("grp")
+            left = written(found.join(mixed_up, "grp", "left_semi"), f"join-left{k}")
             if left.isEmpty():
                 break
         if k < star_rounds:
-            rank = F.col("ent") if k == 0 else F.xxhash64("tile", "ent", F.lit(k))
-            middle = left.where("low").groupBy("tile").agg(F.min_by(F.struct("ent", "class"), rank).alias("m"))
-            pairs = left.join(middle, "tile").where("ent <> m.ent and class <> m.class").select(F.greatest("ent", "m.ent").alias("a"), F.least("ent", "m.ent").alias("b")).distinct()
+            named = left.groupBy("grp").agg(F.min_by(F.struct("ent", "class"), F.xxhash64("grp", "ent", F.lit(k)) if k else F.col("ent")).alias("m"))
+            pairs = left.join(named, "grp").where("ent <> m.ent and class <> m.class").select("ent", F.col("m.ent").alias("other"))
+            # a member of many groups is held against one other a round, so a round makes no more pairs than there are members
+            pairs = pairs.groupBy("ent").agg(F.min_by("other", F.xxhash64("other", F.lit(k)) if k else F.col("other")).alias("other"))
+            pairs = pairs.select(F.greatest("ent", "other").alias("a"), F.least("ent", "other").alias("b")).distinct()
         else:
-            pairs = _blocks(left, texts, block, arrow(pair_schema), pair_schema).distinct()
+            pairs = _blocks(left, marks, block, arrow(pair_schema), pair_schema).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, f"join-pairs{k}")
         tested = pairs if tested is None else tested.union(pairs)
-        new = written(verified(pairs), f"join-links{k}")
+        new = written(verified(pairs, f"join-pairs{k}"), f"join-links{k}")
         links = new if links is None else links.union(new)
-        classes = contracted(links)
+        classes = contracted(links, arrow("node long, class long"), one_task)
 
     least = known.where("n > 0").groupBy("ent").agg(F.min("id").alias("least"))
     least = least.join(classes, least["ent"] == classes["node"], "left").select("ent", "least", F.coalesce("class", "ent").alias("class"))
-    joined = least.join(least.groupBy("class").agg(F.min("least").alias("component_id")), "class").select(F.col("ent").alias("of"), "component_id")
-    out = known.join(joined, (known["ent"] == joined["of"]) & (known["n"] > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    joined = least.join(least.groupBy("class").agg(F.min("least").alias("component_id")), "class").select(F.col("ent").alias("__ent"), "component_id", "class")
+    out = known.join(joined, (known["ent"] == joined["__ent"]) & (known["n"] > 0), "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "class", "of")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near copies: of each class the row of the smallest id stays, and rows of null id stay where
-    their class has no other. Of rows that repeat an id one stays."""
-    classes = written(jaccard_classes(docs, id_col, text_col), "join-classes")
-    kept = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
+    """The rows of docs without near copies: of each class the row of the smallest id stays (of several, one), and every row
+    without words."""
+    classes = written(jaccard_classes(docs, id_col, text_col), "join-classes").withColumnRenamed(id_col, "__id")
+    first = classes.where("n_shingles > 0").where(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("class").agg(F.min("of").alias("__of"), F.first("__id").alias("__id"))
+    kept = first.select("__id", "__of", F.lit(False).alias("__empty")).union(classes.where("n_shingles = 0").select("__id", "of", F.lit(True)).distinct())
     kept = written(kept, "join-kept")
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
-    if kept.where("__rows > 1 and __id is not null").isEmpty():
-        return out
-    return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(out.where(F.col(id_col).isNull()))
+    marked = docs.withColumn("__text", F.xxhash64(text_col))
+    out = marked.join(kept, marked[id_col].eqNullSafe(kept["__id"]) & (marked["__text"] == kept["__of"]))
+    if classes.groupBy("__id", "of").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return out.select(*docs.columns)
+    return out.where("not __empty").dropDuplicates([id_col, "__of"]).select(*docs.columns).union(out.where("__empty").select(*docs.columns))
 
 
-def _blocks(left: DataFrame, texts: DataFrame, block: int, schema: pa.Schema, ddl: str) -> DataFrame:
-    """The possible pairs of different classes in tiles, by pairs of blocks of a tile."""
-    sizes = left.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = left.join(sizes, "tile").withColumn("own", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int"))
+def _blocks(left: DataFrame, marks: DataFrame, block: int, schema: pa.Schema, ddl: str) -> DataFrame:
+    """The possible pairs of different classes in groups, by pairs of blocks of a group; a block meets itself once."""
+    sizes = left.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = left.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("tile", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.cast("int").alias("side"), "ent", "low", "class")
-    # a block meets itself once: rows of own = other belong to the pair (own, own) only
-    held = dealt.join(texts, "ent")
-    return held.groupBy("tile", "p", "q").applyInArrow(_block(schema), ddl)
+    dealt = dealt.select("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.cast("int").alias("side"), "ent", "class")
+    held = dealt.join(marks, "ent").repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q")
+    return held.mapInArrow(_block(schema), ddl)
 
 
 by_value(__name__)
