@@ -30,7 +30,7 @@ def test_groups_stay_together(spark):
     hot = where[zlib.crc32(b"the hot text")]
     together = sum(n * n for n in hot.values()) / 400**2
     assert together >= 1.5 / 12 and sum(n for _, n in hot.most_common(6)) >= 360  # chance gives 1 / 12 and about 220
-    assert sum(len(w) > 1 for w in where.values()) <= 12
+    assert sum(len(w) > 1 for w in where.values()) <= 21  # chance parts 11 of 12 pairs, quotas leave about a tenth apart
 
 
 def test_empty(none):
