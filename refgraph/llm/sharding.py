@@ -1,12 +1,18 @@
 """Sharding by balanced label propagation, law `rows`: shard sizes in rows are at most one apart.
 
 Documents are linked when their texts are equal; a group is kept as the tally of its members over shards, so that no pair is
-ever made. Documents start in shards dealt by hash. In each round every group joins its tally back to its members and pulls
-them towards the shards where most of their neighbours are, as many shards as the group needs. A shard takes in only what its
-quota leaves: where more would come than there is room, a share of them by hash. Rows of one group are joined by group and
-shard, so a group of any size is spread over as many keys as it has shards. Documents without neighbours then fill the room
-that is left. At the end the rows stand in order of shard, group and id, and that line is cut into even parts; it moves only
-what stands over the quotas, and cuts at most one group per border.
+ever made. Documents start in shards dealt by hash. The groups above one part in HEAVY of a shard, at most HEAVY for each
+shard, are placed by the driver, largest first: whole in the fullest shard that holds them, else over the emptiest ones, as few
+as possible. In each round every other group that is not settled picks the shard with room where most of its members are, in
+the next rounds its next part, ties by hash; where none of its parts has room, a shard by hash in proportion to the room left.
+A shard takes in only what its quota leaves: where more would come than there is room, a share of the groups by hash. What the
+last round refuses goes, whole, by the room left. Members move together. Documents without neighbours then fill the room that
+is left. At the end the rows stand in order of shard and group, in each shard between two halves of the documents without
+neighbours, and that line is cut into even parts; it moves only what stands over the quotas, and each border cuts at most one
+group of those that were placed whole.
+
+Rows of heavy groups meet their shards by broadcast and are ordered in blocks by row, all others by group; so no task holds
+more than a small part of a shard.
 
 Nulls: a null text has no bytes and is equal to an empty one; a null id comes first in its group. Rows that repeat are rows of
 their own. With fewer rows than shards the last shards stay empty. An empty table gives an empty result.
@@ -20,53 +26,88 @@ from pyspark.sql import functions as F
 from .common import written
 
 SHARDS, ROUNDS = 24, 3
-#: A group wants so many times the shards it would fill alone, as smaller groups sit in them too.
-SLACK = 1.5
-#: Blocks of the final order: parts of a shard by group, and parts of these by row.
+#: A group above one part in so many of a shard is placed by the driver.
+HEAVY = 64
+#: Blocks of the final order: parts of a shard by group, and parts by row of a heavy group in a shard.
 GROUP_BLOCKS, ROW_BLOCKS = 256, 64
+PLACED = "g1 long, g2 long, heavy int, tos array<int>, ends array<double>"
 
 
-def _lot(rows_key: str, salt: str) -> Column:
+def _lot(salt: str, *keys: str) -> Column:
     """A number from 0 to 1 by hash."""
-    return F.pmod(F.xxhash64(rows_key, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def _linked(rows: DataFrame, room: float, shards: int) -> DataFrame:
-    """(g1, g2, shard, n, targets) of groups of two or more: the shards that the group wants, as many as it needs."""
-    tally = rows.groupBy("g1", "g2", "shard").agg(F.count(F.lit(1)).alias("n"))
-    groups = tally.groupBy("g1", "g2").agg(F.sum("n").alias("size"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "shard"))).alias("by_size")).where("size > 1")
-    needed = F.least(F.lit(shards), F.ceil(SLACK * F.col("size") / F.lit(room))).cast("int")
-    return tally.join(groups.select("g1", "g2", F.slice(F.col("by_size.shard"), F.lit(1), needed).alias("targets")), ["g1", "g2"])
+def _by_room(room: list[float], lot: Column) -> Column:
+    """A shard in proportion to the room; all alike if there is none."""
+    room = room if sum(room) > 0 else [1.0] * len(room)
+    ends, at = [], 0.0
+    for r in room:
+        at += r / sum(room)
+        ends.append(at)
+    return F.least(F.lit(len(room) - 1), F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= lot)))
+
+
+def place_heavy(groups: list[tuple[int, dict[int, int]]], left: list[float]) -> list[list[tuple[int, float]]]:
+    """groups: (size, members by shard), largest first. The shards of each group with the rows that they take; left is taken from."""
+    out = []
+    for size, parts in groups:
+        rest, taken = float(size), []
+        while rest > 0:
+            fits = [s for s, r in enumerate(left) if r >= rest]
+            if fits:  # of a split group the rest stays beside the last piece
+                s = min(fits, key=lambda s: (bool(taken) and s - 1 != taken[-1][0], left[s], -parts.get(s, 0), s))
+            else:
+                s = max(range(len(left)), key=lambda s: (left[s], -s))
+            piece = rest if fits or left[s] < 1e-6 else left[s]
+            taken.append((s, piece))
+            left[s] -= piece
+            rest -= piece
+        out.append(taken)
+    return out
 
 
 def propagate(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
-    """rows: (id, g1, g2, u, shard, ...). Each round moves members of linked groups towards the group's largest parts."""
+    """rows: (id, g1, g2, u, shard, ...). Gives rows with their new shard, heavy (the number of a heavy group, or null) and alone (in no group)."""
+    spark = rows.sparkSession
     room = max(1.0, rows.count() / shards)
+    tally = rows.groupBy("g1", "g2", "shard").agg(F.count(F.lit(1)).alias("n"))
+    part = F.struct((-F.col("n")).alias("less"), F.xxhash64("g1", "g2", "shard").alias("tie"), "shard")
+    groups = written(tally.groupBy("g1", "g2").agg(F.sum("n").alias("size"), F.array_sort(F.collect_list(part)).alias("parts")).where("size > 1"), "shard-groups")
+
+    big = F.col("size") > F.lit(room / HEAVY)
+    heavy = sorted(groups.where(big).collect(), key=lambda r: (-r["size"], r["g1"], r["g2"]))  # at most HEAVY for each shard
+    left = [room] * shards
+    taken = place_heavy([(r["size"], {p["shard"]: -p["less"] for p in r["parts"]}) for r in heavy], left)
+    ends = lambda pieces, size: [sum(n for _, n in pieces[: k + 1]) / size for k in range(len(pieces))]
+    placed = spark.createDataFrame([(r["g1"], r["g2"], k, [s for s, _ in t], ends(t, r["size"])) for k, (r, t) in enumerate(zip(heavy, taken, strict=True))], PLACED)
+
+    light = groups.where(~big).select("g1", "g2", "size", F.col("parts.shard").alias("parts"), F.lit(None).cast("int").alias("to"))
+    start = left = [max(0.0, r) for r in left]
     for k in range(rounds):
-        linked = _linked(rows, room, shards)
-        settled = F.array_contains("targets", F.col("shard"))
-        quota = linked.withColumn("to", F.explode("targets")).groupBy("to").agg(
-            F.sum(F.when(F.col("shard") == F.col("to"), F.col("n"))).alias("settled"), F.sum(F.when(~settled, F.col("n") / F.size("targets"))).alias("coming")
-        )
-        share = [0.0] * shards
-        for r in quota.collect():  # one row per shard
-            share[r["to"]] = min(1.0, max(0.0, (room - (r["settled"] or 0)) / r["coming"])) if r["coming"] else 0.0
-        moves = linked.where(~settled).select("g1", "g2", "shard", "targets")
-        to = F.get("targets", F.pmod(F.xxhash64("u", F.lit(f"to {k}")), F.size("targets").cast("long")).cast("int"))
-        moved = rows.join(moves, ["g1", "g2", "shard"], "left").withColumn("to", to)
-        goes = F.coalesce(_lot("u", f"go {k}") < F.get(F.array(*map(F.lit, share)), F.col("to")), F.lit(False))
-        rows = written(moved.withColumn("shard", F.when(goes, F.col("to")).otherwise(F.col("shard"))).select(*rows.columns), f"shard-round{k}")
-
-    held = _linked(rows, room, shards).select("g1", "g2", "shard", "n")
-    full = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row per shard
-    free = [max(0.0, room - full.get(s, 0)) for s in range(shards)]
-    ends, at = [], 0.0
-    for f in free:
-        at += f / (sum(free) or 1.0)
-        ends.append(at)
-    fills = F.least(F.lit(shards - 1), F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= _lot("u", "fill"))))
-    rows = rows.join(held.select("g1", "g2", "shard", F.lit(True).alias("linked")), ["g1", "g2", "shard"], "left")
-    return written(rows.withColumn("shard", F.when(F.col("linked"), F.col("shard")).otherwise(fills).cast("int")).drop("linked"), "shard-filled")
+        has_room = F.array(*(F.lit(r > 0) for r in left))
+        fit = F.filter("parts", lambda s: F.get(has_room, s))  # noqa: B023
+        pick = F.when(F.size(fit) > 0, F.get(fit, F.lit(k) % F.size(fit))).otherwise(_by_room(left, _lot(f"to {k}", "g1", "g2")))
+        asked = light.where("to is null").withColumn("pick", pick.cast("int"))
+        coming = {r["pick"]: r["n"] for r in asked.groupBy("pick").agg(F.sum("size").alias("n")).collect()}  # one row per shard
+        if not coming:
+            break
+        share = F.array(*(F.lit(min(1.0, r / coming[s]) if coming.get(s) else 0.0) for s, r in enumerate(left)))
+        goes = F.col("to").isNull() & (_lot(f"go {k}", "g1", "g2") < F.get(share, F.col("pick")))
+        light = written(light.withColumn("pick", pick.cast("int")).withColumn("to", F.when(goes, F.col("pick")).otherwise(F.col("to"))).drop("pick"), f"shard-round{k}")
+        full = {r["to"]: r["n"] for r in light.groupBy("to").agg(F.sum("size").alias("n")).collect()}  # one row per shard
+        left = [max(0.0, r - full.get(s, 0)) for s, r in enumerate(start)]
+    light = written(light.select("g1", "g2", "size", F.coalesce("to", _by_room(left, _lot("rest", "g1", "g2"))).cast("int").alias("to")), "shard-settled")
+    full = {r["to"]: r["n"] for r in light.groupBy("to").agg(F.sum("size").alias("n")).collect()}  # one row per shard
+    left = [max(0.0, r - full.get(s, 0)) for s, r in enumerate(start)]
+
+    rows = rows.join(F.broadcast(placed), ["g1", "g2"], "left")
+    spread = F.get("tos", F.least(F.size("tos") - 1, F.size(F.filter("ends", lambda e: e <= _lot("piece", "u")))))
+    rows = rows.withColumn("k1", F.when(F.col("heavy").isNull(), F.col("g1")).otherwise(F.col("u")))  # rows of one heavy group don't meet
+    rows = rows.join(light.select(F.col("g1").alias("k1"), "g2", "to"), ["k1", "g2"], "left")
+    where = F.when(F.col("heavy").isNotNull(), spread).otherwise(F.coalesce("to", _by_room(left, _lot("fill", "u"))))
+    rows = rows.withColumns({"shard": where.cast("int"), "alone": F.col("heavy").isNull() & F.col("to").isNull()})
+    return written(rows.select("id", "size", "crc", "g1", "g2", "u", "shard", "heavy", "alone"), "shard-filled")
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -79,7 +120,12 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     rows = rows.withColumn("u", F.xxhash64("id", "g1")).withColumn("shard", F.pmod(F.col("u"), F.lit(shards)).cast("int"))
     rows = propagate(written(rows, "shard-rows"), shards, rounds)
 
-    rows = rows.withColumns({"gb": F.pmod(F.col("g2"), F.lit(GROUP_BLOCKS)), "rb": F.pmod(F.xxhash64("u", F.lit("block")), F.lit(ROW_BLOCKS))})
+    # In a shard: half of the rows that are alone, the light groups, the heavy ones, the other half.
+    lone = F.pmod(F.xxhash64("u", F.lit("lone")), F.lit(GROUP_BLOCKS))
+    of_group = F.when(F.col("heavy").isNotNull(), 2 * GROUP_BLOCKS + F.col("heavy")).otherwise(GROUP_BLOCKS + F.pmod(F.col("g2"), F.lit(GROUP_BLOCKS)))
+    gb = F.when(~F.col("alone"), of_group).otherwise(F.when(lone < GROUP_BLOCKS // 2, lone).otherwise((1 << 30) + lone))
+    rb = F.when(F.col("heavy").isNotNull(), F.pmod(F.xxhash64("u", F.lit("block")), F.lit(ROW_BLOCKS))).otherwise(F.lit(0))
+    rows = rows.withColumns({"gb": gb.cast("long"), "rb": rb.cast("long")})
     blocks = rows.groupBy("shard", "gb", "rb").agg(F.count(F.lit(1)).alias("n"))
     wide = blocks.groupBy("shard", "gb").agg(F.sum("n").alias("wide"))
     wide = wide.withColumn("wide", F.coalesce(F.sum("wide").over(Window.orderBy("shard", "gb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -35,3 +35,40 @@ def test_groups_stay_together(spark):
 
 def test_empty(none):
     assert shard(none).count() == 0
+
+
+def parted(spark, rows, shards):
+    """Where each text's rows are, and how many of the groups that would fit in a shard sit in several."""
+    where = defaultdict(Counter)
+    for r in check(spark.createDataFrame(rows, "doc_id long, text string"), shards):
+        where[r.text_crc32][r.shard] += 1
+    return where, sum(len(w) > 1 for w in where.values() if sum(w.values()) <= len(rows) // shards)
+
+
+def test_groups_stay_whole_to_the_bound(spark):
+    rows = [(k, "the hot text") for k in range(400)] + [(1000 + k, f"pair {k // 2}") for k in range(400)] + [(5000 + k, f"alone {k}") for k in range(400)]
+    where, n = parted(spark, rows, 12)
+    assert n <= 12  # a border for each shard
+    assert len(where[zlib.crc32(b"the hot text")]) <= 6
+
+
+def test_pairs_stay_whole_beside_a_hot_text(spark):
+    rows = [(k, "the hot text") for k in range(4000)] + [(10_000 + k, f"pair {k // 2}") for k in range(7920)] + [(50_000 + k, f"alone {k}") for k in range(80)]
+    where, n = parted(spark, rows, 24)
+    print("parted pairs beside a hot text", n, "of 3960; hot text in", len(where[zlib.crc32(b"the hot text")]), "shards")
+    assert n <= 24
+    assert len(where[zlib.crc32(b"the hot text")]) <= 12
+
+
+def test_small_groups_stay_whole(spark):
+    rows = [(k, f"pair {k // 2}") for k in range(10_800)] + [(50_000 + k, f"alone {k}") for k in range(1200)]
+    _, n = parted(spark, rows, 24)
+    print("parted pairs", n, "of 5400")
+    assert n <= 24
+
+
+def test_middling_groups_stay_whole(spark):
+    rows = [(k, f"text {k % 60}") for k in range(6000)] + [(50_000 + k, f"alone {k}") for k in range(600)]
+    _, n = parted(spark, rows, 24)
+    print("parted groups", n, "of 60")
+    assert n <= 24
