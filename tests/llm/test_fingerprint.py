@@ -1,9 +1,11 @@
 import hashlib
-from collections import Counter
+import math
+import random
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from refgraph.llm.fingerprint import LEAST, containment, fingerprint_edits, likeness, merged, with_sketch
+from refgraph.llm.fingerprint import LEAST, compared, containment, fingerprint_edits, likeness, merged, with_sketch
 
 
 def shingles(text):
@@ -55,3 +57,41 @@ def test_sketches(spark):
 
 def test_empty(none):
     assert fingerprint_edits(none).count() == 0
+
+
+def test_short_texts_in_a_long_one(spark):
+    """A contained text is never reported as less than whole; what cannot be compared is null, and rarer the longer the text is."""
+    words = [f"w{k}" for k in range(20_000)]
+    rows = [(n, " ".join(words[a : a + n + 4])) for n in (5, 15, 30) for a in range(0, 19_000, 95)]
+    long = spark.createDataFrame([(" ".join(words),)], "whole string")
+    df = spark.createDataFrame(rows, "n long, few string").crossJoin(with_sketch(long, "whole", "s_whole").select("s_whole"))
+    got = with_sketch(df, "few", "s_few").select("n", containment("s_few", "s_whole").alias("c"), compared("s_few", "s_whole").alias("m")).collect()
+    assert all((r.c is None) == (r.m == 0) and r.c in (None, 1.0) for r in got)
+    unknown = Counter(r.n for r in got if r.c is None)
+    print("unknown of 200:", dict(unknown))
+    assert unknown[5] <= 45 and unknown[15] <= 3 and unknown[30] == 0
+
+
+def test_error_by_comparable_hashes(spark):
+    """Of texts held by half, the error stays about sqrt(c (1 - c) / m)."""
+    rng, words = random.Random(1), [f"w{k}" for k in range(20_000)]
+    rows = []
+    for k in range(400):
+        n, a = rng.choice((20, 40, 80, 160)), rng.randrange(19_000)
+        rows.append((" ".join([*words[a : a + n], *(f"x{k}-{j}" for j in range(n))]), (n - 4) / (2 * n - 4)))
+    long = spark.createDataFrame([(" ".join(words),)], "whole string")
+    df = spark.createDataFrame(rows, "half string, truth double").crossJoin(with_sketch(long, "whole", "s_whole").select("s_whole"))
+    got = with_sketch(df, "half", "s_half").select("truth", containment("s_half", "s_whole").alias("c"), compared("s_half", "s_whole").alias("m")).collect()
+    errors = defaultdict(list)
+    for r in got:
+        errors[r.m.bit_length()].append(((r.c - r.truth) ** 2, r.truth * (1 - r.truth) / r.m))
+    assert len(errors) >= 3
+    for e in errors.values():
+        if len(e) >= 30:
+            assert math.sqrt(sum(x for x, _ in e)) <= 1.3 * math.sqrt(sum(y for _, y in e))
+
+
+def test_nothing_is_held_by_an_empty_text(spark):
+    df = spark.createDataFrame([("one two three four five six", "")], "a string, b string")
+    r = with_sketch(with_sketch(df, "a", "s_a"), "b", "s_b").select(containment("s_a", "s_b").alias("c"), containment("s_b", "s_a").alias("d")).first()
+    assert r.c == 0.0 and r.d == 1.0
