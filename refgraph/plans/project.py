@@ -74,9 +74,8 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def resolve(imports: DataFrame, disk: DataFrame, config: ProjectConfig, packages: dict[str, set[str]]) -> DataFrame:
-    """Adds res_kind (source, asset, external, missing) and res_path to rows (file, source, ...). disk: (path) of every file.
-    packages: declared dependencies by folder."""
+def _candidates(imports: DataFrame, config: ProjectConfig) -> DataFrame:
+    """Adds __inner (names a file of the project) and __tried (the paths that a request can mean, in order) to rows (file, source, ...)."""
     request = F.col("source")
     folder = F.regexp_replace("file", "/[^/]*$", "")
     alias = ops.alias_match(request, [(a, t) for a, t in config.aliases])
@@ -90,7 +89,22 @@ def resolve(imports: DataFrame, disk: DataFrame, config: ProjectConfig, packages
     bare = ~classify.file_name(base).rlike(r"[^/]\.[^/]*$")
     none = F.array().cast("array<string>")
     tried = F.concat(F.array(base), F.when(bare, F.array(*(F.concat(base, F.lit(f".{e}")) for e in EXTENSIONS))).otherwise(none), F.array(*(F.concat(base, F.lit(f"/index.{e}")) for e in EXTENSIONS)))
-    rows = ops.first_match(rows, F.when(base.isNull(), none).otherwise(tried), disk, "path", "res_path")
+    return rows.withColumn("__tried", F.when(base.isNull(), none).otherwise(tried)).drop("__base")
+
+
+def with_unlisted(disk: DataFrame, parsed: DataFrame, config: ProjectConfig) -> DataFrame:
+    """disk and the files that imports can mean but the listing lacks: outside the root, or behind linked folders."""
+    imports = parsed.select("file", F.explode("imports.source").alias("source"))
+    asked = _candidates(imports, config).select(F.explode("__tried").alias("path")).distinct()
+    return _written(disk.select("path").unionByName(listing.existing(asked.join(disk, "path", "left_anti"))))
+
+
+def resolve(imports: DataFrame, disk: DataFrame, config: ProjectConfig, packages: dict[str, set[str]]) -> DataFrame:
+    """Adds res_kind (source, asset, external, missing) and res_path to rows (file, source, ...). disk: (path) of every file.
+    packages: declared dependencies by folder."""
+    request = F.col("source")
+    rows = _candidates(imports, config)
+    rows = ops.first_match(rows, F.col("__tried"), disk, "path", "res_path")
 
     name = package_name(request)
     declared = name.isin(sorted(config.external_packages)) if config.external_packages else F.lit(False)
@@ -100,7 +114,7 @@ def resolve(imports: DataFrame, disk: DataFrame, config: ProjectConfig, packages
     outside = F.lit(True) if not config.base_url else name.isin(BUILTINS) | declared
     is_source = F.col("res_path").rlike(rf"[^/]\.(?:{'|'.join(EXTENSIONS)})$")
     kind = F.when(F.col("res_path").isNotNull(), F.when(is_source, "source").otherwise("asset")).when(F.col("__inner"), "missing").when(request.startswith("node:") | outside, "external").otherwise("missing")
-    return rows.withColumn("res_kind", kind).drop("__base", "__inner")
+    return rows.withColumn("res_kind", kind).drop("__tried", "__inner")
 
 
 def nested_packages(paths: list[str]) -> dict[str, set[str]]:
@@ -178,7 +192,8 @@ def scan(spark: SparkSession, root: str, config: ProjectConfig | None = None) ->
     config = config or load_config(root)
     found, files = listing.source_files(config), listing.all_files(config.root)
     disk = spark.createDataFrame([(p,) for p in files], "path string")
-    return analyze(parse_sources(listing.read_sources(spark, found)), disk, config, nested_packages(files))
+    parsed = _written(parse_sources(listing.read_sources(spark, found)))
+    return analyze(parsed, with_unlisted(disk, parsed, config), config, nested_packages(files))
 
 
 def report(scanned: Scan, now: datetime | None = None) -> dict:

@@ -69,10 +69,20 @@ def source_files(config: ProjectConfig) -> list[str]:
 
 
 def all_files(root: str) -> list[str]:
-    """Every file below root, ignored ones too: imports resolve against the disk as it is."""
+    """Every file below root, ignored ones too, but for those behind linked folders; existing() finds these and files outside root."""
     return [f"{at}/{name}" for at, folders, names in os.walk(root) for name in names if os.path.isfile(f"{at}/{name}")]
 
 
+def existing(paths: DataFrame) -> DataFrame:
+    """The rows (path) that are files on a disk that all executors can read, links followed."""
+
+    def find(batches):
+        for batch in batches:
+            yield batch[[os.path.isfile(p) for p in batch["path"]]]
+
+    return paths.select("path").mapInPandas(find, "path string")
+
+
 def read_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, content) of files that all executors can read. Text that is not UTF-8 fails the scan."""
     rows = spark.createDataFrame([(p,) for p in paths], "file string")

@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from refgraph.plans.project import PARSED, Scan, analyze, parse_sources
+from refgraph.plans.project import PARSED, Scan, analyze, nested_packages, parse_sources, with_unlisted
 from refgraph.sources.config import ProjectConfig
+from refgraph.sources.listing import all_files
 
 
 class Rescan:
@@ -36,8 +37,13 @@ class Rescan:
         return rows.withColumn("__n", latest).where("__n = 1").drop("__n", "epoch")
 
     def scan(self, config: ProjectConfig, disk: DataFrame | None = None) -> Scan:
-        parsed = self.parsed()
-        return analyze(parsed, parsed.select(F.col("file").alias("path")) if disk is None else disk, config)
+        """disk: (path) of every file that imports can resolve to; without it the parsed files and what lies on the disk, as in a scan."""
+        parsed, files = self.parsed(), []
+        if disk is None:
+            files = all_files(config.root)
+            listed = self.spark.createDataFrame([(p,) for p in files], "path string")
+            disk = with_unlisted(listed.union(parsed.select("file")).distinct(), parsed, config)
+        return analyze(parsed, disk, config, nested_packages(files))
 
 
 def follow(source: DataFrame, rescan: Rescan, checkpoint: str | None = None):

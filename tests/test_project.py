@@ -7,6 +7,7 @@ import pytest
 from refgraph.plans import clean, compare, project
 from refgraph.sources import commands, jsonc, listing, report
 from refgraph.sources.config import ConfigError, clean_threshold, load_config
+from refgraph.streaming.rescan import Rescan
 
 DEMO = {
     "pages/home.tsx": "import { sum } from '../src/lib/math';\nimport { LiveCard } from '../src/components/LiveCard';\nexport default function Home() { return <LiveCard n={sum(1, 2)} />; }\n",
@@ -133,6 +134,22 @@ def test_resolution_and_suppressions(spark, tmp_path):
     assert "dist/x.ts" not in kinds and out["summary"].get("suppressedFindings") is None
 
 
+def test_imports_that_leave_the_root_or_pass_links(spark, tmp_path):
+    tree(tmp_path, {"shared/x.ts": "export const x = 1", "shared/pic.svg": "<svg/>", "store/pkg/index.ts": "export const p = 1"})
+    root = tree(tmp_path / "app", {
+        "tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@shared/*": ["../shared/*"]}}}',
+        "main.ts": "import '../shared/x'; import '@shared/x'; import '../shared/pic.svg'; import './linked/pkg'; import '../shared/none'; import './own.css'", "own.css": "",
+    })
+    (tmp_path / "app" / "linked").symlink_to(tmp_path / "store")
+    out, found = scanned(spark, root)
+    assert [s for _, s, _ in found["brokenImports"]] == ["../shared/none"]
+    assert [m["relativePath"] for m in out["graph"]["modules"]] == ["main.ts"]
+    rescan = Rescan(spark, str(tmp_path / "out"))
+    config = load_config(root)
+    rescan.add(listing.read_sources(spark, listing.source_files(config)), 0)
+    assert [r.source for r in rescan.scan(config).findings["brokenImports"].collect()] == ["../shared/none"]
+
+
 def test_suppressed_findings_are_counted(spark, tmp_path):
     root = tree(tmp_path, {"a.ts": "import './none'; import {q} from './b'", "b.ts": "export const z = 1", ".refgraph/suppressions.json": '{"suppressions": [{"kind": "brokenImport", "file": "a.ts", "reason": "later"}, {"kind": "orphanFile", "file": "a.ts", "reason": "ok"}]}'})
     out, found = scanned(spark, root)
