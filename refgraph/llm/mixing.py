@@ -124,13 +124,19 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = docs.withColumn("__of", of)
     plan = mix(marked, id_col, text_col, source_col, seed=seed)
     size = F.greatest(F.lit(1), F.col("size"))
-    plan = plan.groupBy(F.col(id_col).alias("__id"), F.col("of").alias("__same")).agg(
-        F.sum(F.floor(F.col("taken") / size)).alias("__whole"), F.collect_list(F.col("taken") % size).alias("__cut"), F.count(F.lit(1)).alias("__rows")
+    plan = plan.select(
+        F.col(id_col).alias("__id"), F.col("of").alias("__same"), F.col("source").alias("__from"), F.floor(F.col("taken") / size).alias("__whole"), (F.col("taken") % size).alias("__cut"),
     )
-    plan = written(plan, "mix-plan")
-    if not plan.where("__rows > 1").isEmpty():  # rows that repeat: their copies are counted together
-        marked = marked.dropDuplicates([id_col, "__of"])
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")), F.filter("__cut", lambda n: n > 0))
-    held = marked.join(plan, marked[id_col].eqNullSafe(plan["__id"]) & (marked["__of"] == plan["__same"])).withColumn("__take", F.explode(copies))
+    nth = lambda keys, order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    plan = written(plan.withColumn("__nth", nth(["__id", "__same", "__from"], ["__whole", "__cut"])), "mix-plan")
+    source = F.col(source_col).cast("string")
+    if not plan.where("__nth > 1").isEmpty():  # rows of one id, text and source: each takes one row of the plan
+        others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)))
+        marked = marked.withColumn("__row", nth([F.col(id_col), F.col("__of"), source], [F.xxhash64(others)]))
+    else:
+        marked = marked.withColumn("__row", F.lit(1))
+    same = marked[id_col].eqNullSafe(plan["__id"]) & (marked["__of"] == plan["__same"]) & source.eqNullSafe(plan["__from"]) & (marked["__row"] == plan["__nth"])
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")), F.filter(F.array("__cut"), lambda n: n > 0))
+    held = marked.join(plan, same).withColumn("__take", F.explode(copies))
     text = F.when(F.col("__take") < 0, F.col(text_col)).otherwise(F.array_join(F.slice(words(F.col(text_col)), F.lit(1), F.col("__take").cast("int")), " "))
     return held.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

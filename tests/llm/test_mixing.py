@@ -64,6 +64,15 @@ def test_a_small_source_of_great_weight_is_capped(spark):
     check(spark.createDataFrame([(k, "w " * 50, "a") for k in range(40)] + [(100, "x y", "b"), (101, "z", "c"), (102, None, "c")], "doc_id long, text string, source string"))
 
 
+def test_one_id_and_text_in_two_sources(spark):
+    rows = [(k, "one two three four", s, lang) for k in [*range(30), None] for s, lang in (("a", "en"), ("b", "de"), ("b", "fr"), (None, "en"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    check(df)
+    whole = Counter((r.doc_id, r.source) for r in mix(df).where("taken >= size").collect())
+    kept = Counter((r.doc_id, r.source) for r in mixed_documents(df).where("text = 'one two three four'").select("doc_id", "source", "lang").distinct().collect())
+    assert kept == whole  # each row stands for itself, with its own columns
+
+
 def test_empty(none):
     assert mix(none).count() == 0 and mixed_documents(none).count() == 0
 
