@@ -4,18 +4,21 @@ Targets: sources in code point order (null last) weigh 1, 2, 3, 1, ...; the word
 source is taken more than MOST times: what lies above goes to the others by weight until none is above.
 
 Every source is dealt into blocks by a hash of its ids; block order and the order in a block are the permutation that draws
-follow. A source's target gives its quota of blocks: whole passes over all of them, then the first ones of one more pass,
-the last of them and its last document cut to the word. A splitting tree divides these block quotas among the output shards:
-at each node the blocks of the left half are a multivariate-hypergeometric draw from the node's blocks, down to one shard,
-so that every shard holds an exact number of blocks and each source its exact quota. Shards draw disjoint runs of a source's
-permuted blocks and order their rows by another hash.
-
-Only per-source counts reach the driver (where the tree is drawn); nothing is windowed over a whole source: sums run over the
-blocks of a source and over the rows of a block.
-
-Nulls: a null text has no words; a null source is a source of its own, the last; a null id is hashed as an empty one. Rows
-that repeat are rows of their own. Without any word all targets are 0. An empty table gives an empty result. Other columns
-are ignored.
+follow. A source's target gives its quota of block draws: whole passes over all blocks, then the first ones of one more pass,
+the last of them and its last document cut to the word. A splitting tree divides these quotas among the output shards: at each
+node the draws of the left half are a multivariate-hypergeometric sample of the node's draws, down to one shard, so that every
+shard has an exact number of draws and each source its exact quota. The shards draw disjoint runs of a source's permuted
+blocks; what a document gives to the mix are the draws of its block, and nothing else. Inside a shard, copies are ordered by
+another hash (of seed, id and pass).
+
+Only per-source counts reach the driver (8 bytes a source and shard), where the tree is drawn; sources are ordered in one task,
+one row each. Nothing else is windowed over a whole source: sums run over the blocks of a source and over the rows of a block,
+and blocks grow in number with the rows (BLOCK_ROWS).
+
+Nulls: a null text has no words; a null source is a source of its own, the last; a null id is hashed as an empty one. Texts
+without words, empty ones too, are never copied. Very long texts count whole; at most one document of a source is cut. Ties:
+rows of one id lie in one block, in order of size. Rows that repeat are rows of their own. Without any word all targets are 0.
+An empty table gives an empty result. Other columns are ignored by mix() and kept by mixed_documents(), whatever their names.
 """
 
 from __future__ import annotations
@@ -29,9 +32,13 @@ from .common import SPACE, words, written
 
 #: A source is taken at most so many times.
 MOST = 3
-#: Blocks of a source: 2 to this power.
-BLOCK_BITS = 10
+#: Blocks of a source: 2 to this power at least, and so many that a source with all the rows has this number of them in a block.
+BLOCK_BITS, BLOCK_ROWS = 10, 1 << 14
 SHARDS = 16
+#: Up to so many blocks (100 bytes each) are broadcast to the documents; more are joined by shuffle.
+BROADCAST_BLOCKS = 100_000
+#: Runs of a shard's order that may lie in different tasks: 2 to this power.
+RUN_BITS = 10
 
 
 def n_words(text: Column) -> Column:
@@ -75,14 +82,35 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out.cumsum(axis=1)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """Rows (id_col, source, size, source_size, target, taken, shards, key, of), one per row of docs; of: a hash of the text. taken: words that the mix takes,
-    repeats counted. shards: the shard of each whole or cut copy. key: the order in a shard."""
+def _same(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """A join in which null equals null; the keys of left stay."""
+    renamed = right.withColumnsRenamed({k: f"r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"r_{k}"))
+    return left.join(renamed, same, how).drop(*(f"r_{k}" for k in keys))
+
+
+def _key(id_col: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
+
+
+def _block(key: Column, bits: int) -> Column:
+    return F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), 32 - bits).cast("int")
+
+
+def _order(id_col: Column, draw: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.lit("order"), F.coalesce(id_col.cast("string"), F.lit("")), draw)
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, shards: int, seed: int, least_bits: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (id, source, of, size, key, block) of docs; blocks (source, block, before, words, source_size, target, passes, rest,
+    draws) with draws (pass, shard) of each block; and the bits of a block number."""
     spark = docs.sparkSession
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("of"), n_words(F.col(text_col)).alias("size"), key.alias("key"))
-    rows = rows.withColumn("block", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - BLOCK_BITS).cast("int"))
-    rows = written(rows, "mix-rows")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.xxhash64(f"`{text_col}`").alias("of"), n_words(F.col(f"`{text_col}`")).alias("size"))
+    rows = written(rows.withColumn("key", _key(F.col("id"), seed)), "mix-rows")
+    bits = min(31, max(least_bits, (rows.count() // BLOCK_ROWS).bit_length()))
+    rows = rows.withColumn("block", _block(F.col("key"), bits))
 
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
     blocks = blocks.withColumn("block_rank", F.row_number().over(Window.partitionBy("source").orderBy("block")) - 1)
@@ -92,51 +120,68 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     sources = written(sources.withColumn("passes", passes).withColumn("rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")), "mix-sources")
 
-    def joined(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
-        renamed = right.withColumnsRenamed({k: f"r_{k}" for k in keys})
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"r_{k}"))
-        return left.join(renamed, same).drop(*(f"r_{k}" for k in keys))
-
-    known = joined(blocks, sources, "source")
+    known = _same(blocks, sources, "source")
     drawn = known.groupBy("place").agg(F.max(F.col("passes") * F.col("n_blocks")).alias("whole"), F.sum((F.col("before") < F.col("rest")).cast("long")).alias("part"))
     quotas = drawn.orderBy("place").collect()  # one row per source
     bounds = split_quotas([r["whole"] + r["part"] for r in quotas], shards, seed)
-    plan = spark.createDataFrame([(r["place"], b.tolist()) for r, b in zip(quotas, bounds, strict=True)], T.StructType([T.StructField("place", T.IntegerType()), T.StructField("bounds", T.ArrayType(T.LongType()))]))
-    known = known.join(plan, "place").drop("words", "place", "weight")
+    runs = [(r["place"], [0, *b.tolist()]) for r, b in zip(quotas, bounds, strict=True)]
+    plan = spark.createDataFrame(runs, T.StructType([T.StructField("place", T.IntegerType()), T.StructField("bounds", T.ArrayType(T.LongType()))]))
 
-    in_block = Window.partitionBy("source", "block").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = joined(rows.withColumn("within", F.coalesce(F.sum("size").over(in_block), F.lit(0))), known, "source", "block")
-    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("before") - F.col("within")))
-    copies = F.when(F.col("size") > 0, F.col("passes") + (F.col("part") > 0).cast("long")).otherwise(F.lit(0))
-    shard = lambda p: F.size(F.filter("bounds", lambda b: b <= p * F.col("n_blocks") + F.col("block_rank")))
-    return placed.withColumn("part", part).select(
-        F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"),
-        F.when(copies > 0, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), shard)).otherwise(F.array().cast("array<int>")).alias("shards"), "key", "of",
-    )
+    # a shard's run of draws, of which there are block count times passes
+    ends = plan.select("place", F.posexplode(F.slice("bounds", 2, shards)).alias("shard", "end"), "bounds").withColumn("first", F.element_at("bounds", F.col("shard") + 1))
+    draws = ends.where("first < end").select("place", "shard", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("draw"))
+    draws = draws.join(sources.select("place", "n_blocks"), "place").groupBy("place", (F.col("draw") % F.col("n_blocks")).alias("block_rank"))
+    draws = draws.agg(F.sort_array(F.collect_list(F.struct(F.floor(F.col("draw") / F.col("n_blocks")).alias("pass"), "shard"))).alias("draws"))
+    known = known.join(draws, ["place", "block_rank"], "left").withColumn("draws", F.coalesce("draws", F.array().cast("array<struct<pass:bigint,shard:int>>")))
+    return rows, written(known.select("source", "block", "before", "words", "source_size", "target", "passes", "rest", "draws"), "mix-draws"), bits
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """The mix itself: the rows and columns of docs, each as often as it is taken. A copy that is cut holds the document's first
-    words, joined by one space."""
-    of = F.xxhash64(text_col)
-    marked = docs.withColumn("__of", of)
-    plan = mix(marked, id_col, text_col, source_col, seed=seed)
-    size = F.greatest(F.lit(1), F.col("size"))
-    plan = plan.select(
-        F.col(id_col).alias("__id"), F.col("of").alias("__same"), F.col("source").alias("__from"), F.floor(F.col("taken") / size).alias("__whole"), (F.col("taken") % size).alias("__cut"),
-    )
-    nth = lambda keys, order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    plan = written(plan.withColumn("__nth", nth(["__id", "__same", "__from"], ["__whole", "__cut"])), "mix-plan")
-    source = F.col(source_col).cast("string")
-    if not plan.where("__nth > 1").isEmpty():  # rows of one id, text and source: each takes one row of the plan
-        others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)))
-        marked = marked.withColumn("__row", nth([F.col(id_col), F.col("__of"), source], [F.xxhash64(others)]))
-    else:
-        marked = marked.withColumn("__row", F.lit(1))
-    same = marked[id_col].eqNullSafe(plan["__id"]) & (marked["__of"] == plan["__same"]) & source.eqNullSafe(plan["__from"]) & (marked["__row"] == plan["__nth"])
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")), F.filter(F.array("__cut"), lambda n: n > 0))
-    held = marked.join(plan, same).withColumn("__take", F.explode(copies))
-    text = F.when(F.col("__take") < 0, F.col(text_col)).otherwise(F.array_join(F.slice(words(F.col(text_col)), F.lit(1), F.col("__take").cast("int")), " "))
-    return held.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+def _copies(id_col: Column, size: Column, part: Column, seed: int) -> Column:
+    """What the draws of a row's block take of it: (shard, order, words), the last pass only its part."""
+    taken = F.transform("draws", lambda d: F.struct(d["shard"].alias("shard"), _order(id_col, d["pass"], seed).alias("order"), F.when(d["pass"] < F.col("passes"), size).otherwise(part).alias("words")))
+    return F.filter(taken, lambda c: c["words"] != 0)
+
+
+def _part(rows: DataFrame) -> DataFrame:
+    """Adds part: the words of each row that lie before the end of its source's last pass."""
+    in_block = Window.partitionBy("source", "block").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("part", F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(in_block), F.lit(0)))))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 0, bits: int = BLOCK_BITS) -> DataFrame:
+    """Rows (id_col, source, size, source_size, target, taken, copies), one per row of docs. taken: words that the mix takes,
+    repeats counted: the sum of the words of copies. copies: (shard, order, words), whole ones and at last a cut one."""
+    rows, blocks, _ = _drawn(docs, id_col, text_col, source_col, shards, seed, bits)
+    placed = _part(_same(rows, blocks, "source", "block")).withColumn("copies", _copies(F.col("id"), F.col("size"), F.col("part"), seed))
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"])
+    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"), "copies")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 0, bits: int = BLOCK_BITS, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
+    """The mix itself: the rows and columns of docs, each as often as it is taken, dealt out by shard and sorted by its order. A
+    copy that is cut holds the document's first words, joined by one space."""
+    rows, blocks, bits = _drawn(docs, id_col, text_col, source_col, shards, seed, bits)
+    cut = (F.col("passes") * F.col("source_size") < F.col("target")) & (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
+    blocks = blocks.where(F.size("draws") > 0).select("source", "block", "before", "rest", "passes", "draws", cut.alias("cut"))
+    few = blocks.limit(broadcast_blocks + 1).count() <= broadcast_blocks
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    of_doc = lambda c: F.col("doc").getField(c)
+    held = docs.select(doc).withColumns({"id": of_doc(id_col), "source": of_doc(source_col).cast("string"), "block": _block(_key(of_doc(id_col), seed), bits)})
+    held = _same(held, F.broadcast(blocks) if few else blocks, "source", "block")
+
+    some = F.when(n_words(of_doc(text_col)) > 0, F.lit(-1)).otherwise(F.lit(0)).cast("long")  # of words: -1 stands for the whole text
+    whole = held.where("not cut").withColumn("copies", _copies(F.col("id"), some, some, seed))
+    # the one block of a source that its last pass ends in: each row takes the row of the plan with its id, source and text
+    nth = lambda order: F.row_number().over(Window.partitionBy("id", "source", "of").orderBy(order))
+    ends = _part(_same(rows, blocks.where("cut"), "source", "block")).select("id", "source", "of", "part", "size").withColumn("nth", nth(F.col("part")))
+    others = F.to_json(F.struct(*(of_doc(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col)))
+    last = held.where("cut").withColumn("of", F.xxhash64(of_doc(text_col))).withColumn("nth", nth(F.xxhash64(others)))
+    all_ = F.when(F.col("size") > 0, F.lit(-1)).otherwise(F.lit(0)).cast("long")
+    last = _same(last, ends, "id", "source", "of", "nth").withColumn("copies", _copies(F.col("id"), all_, F.when(F.col("part") == F.col("size"), all_).otherwise(F.col("part")), seed))
+    taken = whole.select("doc", F.explode("copies").alias("copy")).union(last.select("doc", F.explode("copies").alias("copy")))
+
+    run = F.shiftrightunsigned("copy.order", 64 - RUN_BITS)
+    dealt = taken.select("doc", F.col("copy.words").alias("take"), F.col("copy.shard").alias("shard"), run.alias("run"), F.col("copy.order").alias("order"))
+    dealt = dealt.repartition("shard", "run").sortWithinPartitions("shard", "run", "order")
+    text = F.when(F.col("take") < 0, of_doc(text_col)).otherwise(F.array_join(F.slice(words(of_doc(text_col)), F.lit(1), F.col("take").cast("int")), " "))
+    return dealt.select(*((text if c == text_col else of_doc(c)).alias(c) for c in docs.columns))

@@ -37,7 +37,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_draws"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,8 @@ quotas as (select *, round(target - whole * source_size)::bigint as rest from pa
 placed_rows as (
   select r.*, q.source_size, q.target, q.whole, q.rest, sum(r.size) over (partition by r.source order by r.key, r.doc_id, r.size rows unbounded preceding) - r.size as before
   from rows r join quotas q on r.source is not distinct from q.source)
-select doc_id, size, source_size, target, (whole * size + least(size, greatest(0, rest - before)))::bigint as taken
+select doc_id, size, source_size, target, (whole * size + least(size, greatest(0, rest - before)))::bigint as taken,
+       (case when size > 0 then whole else 0 end + case when least(size, greatest(0, rest - before)) > 0 then 1 else 0 end)::bigint as n_draws
 from placed_rows""",
     "op7_line_dedup": rf"""
 with split as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),

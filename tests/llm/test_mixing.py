@@ -6,6 +6,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from refgraph.llm import mixing
 from refgraph.llm.mixing import mix, mixed_documents, split_quotas
 
 
@@ -39,11 +42,11 @@ def check(df):
     for r in got:
         assert 0 <= r.taken <= 3 * r.size and r.source_size == sizes[r.source]
         assert math.isclose(r.target, want[r.source], rel_tol=1e-9, abs_tol=1e-9)
-        assert len(r.shards) == math.ceil(r.taken / r.size if r.size else 0) and all(0 <= s < 16 for s in r.shards)
+        assert len(r.copies) == math.ceil(r.taken / r.size if r.size else 0) and all(0 <= c.shard < 16 and 0 < c.words <= r.size for c in r.copies)
         taken[r.source] += r.taken
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
-    again = Counter((r.doc_id, r.taken, tuple(r.shards)) for r in mix(df).collect())
-    assert again == Counter((r.doc_id, r.taken, tuple(r.shards)) for r in got)
+    again = Counter((r.doc_id, r.taken, tuple(r.copies)) for r in mix(df).collect())
+    assert again == Counter((r.doc_id, r.taken, tuple(r.copies)) for r in got)
     out = mixed_documents(df)
     assert out.columns == df.columns
     words = defaultdict(int)
@@ -73,6 +76,41 @@ def test_one_id_and_text_in_two_sources(spark):
     assert kept == whole  # each row stands for itself, with its own columns
 
 
+def test_many_blocks_by_shuffle(odd):
+    """What the mix holds does not depend on how blocks reach the documents."""
+    one, two = mixed_documents(odd), mixed_documents(odd, broadcast_blocks=0)
+    assert Counter(one.collect()) == Counter(two.collect())
+
+
+def test_the_tree_decides(documents, monkeypatch):
+    """Shards hold equal numbers of draws, disjoint ones, and without them nothing is taken."""
+    df = documents.select("doc_id", "text", "source")
+    drawn = Counter((c.shard, r.source, r.doc_id, n) for r in mix(df).collect() for n, c in enumerate(r.copies))
+    assert set(drawn.values()) == {1} and {s for s, *_ in drawn} == set(range(16))
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed: np.zeros((len(quotas), shards), dtype=np.int64))
+    assert mix(df).where("taken > 0").isEmpty() and mixed_documents(df).isEmpty()
+
+
+def test_shards_are_dealt_out_in_their_order(documents):
+    df = documents.where("source is not null").select("doc_id", "text", "source")
+    copies = {r.doc_id: r.copies for r in mix(df).collect()}
+    rows = mixed_documents(df).select(F.spark_partition_id().alias("part"), "doc_id").collect()
+    by_part = defaultdict(list)
+    for r in rows:
+        by_part[r.part].append(r.doc_id)
+    for ids in by_part.values():  # some order of the copies' (shard, run, order) is that of the rows
+        held = Counter(ids)
+        want = sorted((c.shard, (c.order % 2**64) >> 54, c.order, i) for i in held for c in copies[i])
+        want = [i for *_, i in want]
+        assert [i for i in want if len(copies[i]) == 1] == [i for i in ids if len(copies[i]) == 1]
+
+
+def test_names_used_inside(spark):
+    rows = [(k, f"text {k} of words", "ab"[k % 2], k, k, k, k) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, block int, doc int, `__rows` int, `copy.order` int")
+    check(df)
+
+
 def test_empty(none):
     assert mix(none).count() == 0 and mixed_documents(none).count() == 0
 
