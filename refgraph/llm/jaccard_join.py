@@ -1,33 +1,40 @@
-"""Join of texts whose five-word shingle sets have a Jaccard similarity of at least 0.8, exactly, as connected classes.
+"""Join of texts whose five-word shingle sets have a Jaccard similarity of at least 0.8, as connected classes.
 
 Equal sets are one entity from the start, so copies never meet. For the others:
 
 1. count: all shingles of all documents are counted in one table of hashed counters (fixed size). It only orders shingles,
-   those of low counters first; results do not depend on it.
-2. tiles: two similar sets share a shingle among the first |set| - ceil(0.8 |set|) + 1 of each in any common order; with rare
+   those of low counters first, and picks centres; results do not depend on it.
+2. contraction: entities with an equal minimum of their rehashed shingles are held against one of them, the centre, whose
+   shingles are the most frequent (of a text and its edited copies, the text itself). Those linked are one class; those that
+   share half of their shingles at least are one cluster. KEYS hashes, one after the other, each entity against one centre a
+   hash. So large clusters of near copies shrink to few classes before their members are listed.
+3. tiles: two similar sets share a shingle among the first |set| - ceil(0.8 |set|) + 1 of each in any common order; with rare
    ones first, boilerplate is reached only by sets that are made of it. Sets that share such a shingle and lie in the same or
-   the next size band form a tile (bands grow by 1.25, so similar sets are never further apart). Near copies share many
-   shingles, so tiles with the same smallest member are put together as one group: whatever pair has a tile has a group.
-3. stars: every member is first compared with the smallest member of one of its groups. What is linked then needs no more
-   comparisons inside a class, so n copies cost n comparisons. Groups that still hold several classes name another member in
-   a second round.
-4. blocks: in the groups that remain, all pairs of members of different classes are held against each other in blocks of
+   the next size band form a tile (bands grow by 1.25, so similar sets are never further apart). A tile inside one cluster is
+   left out, as every cluster of several classes is a group as a whole. Other tiles with the same smallest member are put
+   together as one group: whatever pair has a tile has a group.
+4. stars: every member is compared with one member of one of its groups. Groups that still hold several classes name another
+   member in a second round.
+5. blocks: in the groups that remain, all pairs of members of different classes are held against each other in blocks of
    bitmaps: bits of one set that the other lacks bound the overlap from above, and only pairs that stay possible go on.
 
 Every comparison first bounds the overlap by bit counts and then intersects the sorted hash arrays. Classes come from
 contraction of the links: by joins, or in one task while they are few. No pair inside a class is made once the class is known, nothing is capped, and
 a group of any size is spread: tiles by shingle, stars by member, blocks by block pair.
 
-Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; fewer words than a shingle has make one shingle. Shingles and sets stand
-as 64-bit hashes. Nulls: a null text, or one without words, has an empty set and is linked with nothing; a null id is never
-the smallest of its class unless alone. Rows that repeat have equal sets and so are linked. An empty table gives an empty
-result. Other columns are ignored.
+Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; fewer words than a shingle has make one shingle. Shingles stand as
+64-bit hashes. A set is known by 64 bits of its digest, and by 64 more where two sets share these.
+
+Nulls: a null text, or one without words, has an empty set and is linked with nothing; a null id is never the smallest of its
+class unless alone. Very long texts are hashed whole, in pieces. Ties: of equal smallest ids there is one class id. Rows that
+repeat have equal sets and so are linked. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +51,10 @@ NUM, DEN = 80, 100
 COUNTER_BITS = 22
 PARTS = 32
 STAR_ROUNDS = 2
+#: Hashes by which entities meet before tiles are made, and the similarity, as a fraction, that makes one cluster.
+KEYS, NEAR_NUM, NEAR_DEN = 4, 1, 2
+#: Bits of a bitmap for each shingle, at least.
+BITS = 12
 BLOCK = 1024
 #: Up to so many entities' hashes are broadcast to pick their texts (8 bytes each); more are joined by shuffle.
 BROADCAST_ENTITIES = 200_000
@@ -63,6 +74,7 @@ _BASE = int(_rng.integers(1, 2**62)) * 4 + 3
 _WEIGHTS = _rng.integers(1, 2**62, SHINGLE + 1, dtype=np.uint64) * _U(2) + _U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SEEDS = _rng.integers(1, 2**63, KEYS, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -146,8 +158,9 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
         k = end
 
 
-def entity(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def entity(shingles: np.ndarray) -> tuple[int, int]:
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _edges(most: int) -> np.ndarray:
@@ -172,8 +185,8 @@ def prefix(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """A hashed bitmap of at least three bits per shingle, a power of 2 long."""
-    bits = 1 << max(6, (3 * max(1, len(shingles)) - 1).bit_length())
+    """A hashed bitmap of at least BITS bits per shingle, a power of 2 long."""
+    bits = 1 << max(6, (BITS * max(1, len(shingles)) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(shingles & _U(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -184,16 +197,16 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0) if len(bits) > words else bits
 
 
-def possible(n_a: int, bits_a: np.ndarray, n_b: int, bits_b: np.ndarray) -> bool:
+def possible(n_a: int, bits_a: np.ndarray, n_b: int, bits_b: np.ndarray, num: int = NUM, den: int = DEN) -> bool:
     """False if bit counts rule out that the sets are similar."""
     words = min(len(bits_a), len(bits_b))
     a, b = folded(bits_a, words), folded(bits_b, words)
     most = min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
-    return similar(n_a, n_b, most)
+    return similar(n_a, n_b, most, num, den)
 
 
-def similar(n_a: int, n_b: int, shared: int) -> bool:
-    return DEN * shared >= NUM * (n_a + n_b - shared)
+def similar(n_a: int, n_b: int, shared: int, num: int = NUM, den: int = DEN) -> bool:
+    return den * shared >= num * (n_a + n_b - shared)
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
@@ -220,65 +233,96 @@ def _add_counts(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def _sets(held, buckets: int, schema: pa.Schema):
-    """Rows of documents (bucket -1: id, of, n, ent, text packed), and packed prefixes by bucket (shingle, entity, band)."""
+def _sets(held, schema: pa.Schema):
+    """Rows (id, of, n, ent, more, keys, rank, text packed); more: further bits of the set's digest; rank: how frequent its
+    shingles are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.frombuffer(zstandard.decompress(held.value), np.uint16), set()
-        mask, n_buckets = _U(len(counts) - 1), _U(buckets)
+        counts = np.frombuffer(zstandard.decompress(held.value), np.uint16)
+        mask = _U(len(counts) - 1)
         for batch in _slices(batches):
             texts = _texts(batch, 1)
-            ns, ents, tokens, owners, sizes = [], [], [], [], []
+            ns, ents, keys, ranks = [], [], [], []
             for s in shingle_sets(texts):
                 ns.append(len(s))
-                ents.append(e := entity(s))
-                if len(s) and e not in seen:
-                    seen.add(e)
-                    tokens.append(first := prefix(s, counts[(s & mask).astype(np.int64)]))
-                    owners.append(np.full(len(first), e, np.int64))
-                    sizes.append(np.full(len(first), band(len(s)), np.uint8))
+                ents.append(entity(s))
+                keys.append([int(mixed(s ^ seed).min().view(np.int64)) for seed in _SEEDS] if len(s) else None)
+                ranks.append(int(counts[(s & mask).astype(np.int64)].mean() * 16) if len(s) else 0)
             packed = [zstandard.compress(t, 1) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(ns), pa.int32()), batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(ents, pa.int64()), pa.array(packed, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array([e for e, _ in ents], pa.int64()), pa.array([m for _, m in ents], pa.int64()),
+                pa.array(keys, schema.field("keys").type), pa.array(ranks, pa.int32()), pa.array(packed, pa.binary()),
+            ], schema=schema)
+
+    return run
+
+
+def _prefixes(held, buckets: int, schema: pa.Schema):
+    """Rows (ent, cluster, text packed) to packed prefixes by bucket: shingles, entities, bands, and where an entity's cluster is
+    not itself its place and its cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.frombuffer(zstandard.decompress(held.value), np.uint16)
+        mask, n_buckets = _U(len(counts) - 1), _U(buckets)
+        for batch in _slices(batches):
+            ents, clusters = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
+            tokens, sizes = [], []
+            for s in shingle_sets([zstandard.decompress(t) for t in batch.column(2).to_pylist()]):
+                tokens.append(prefix(s, counts[(s & mask).astype(np.int64)]))
+                sizes.append(band(len(s)))
             if not tokens:
                 continue
-            token, owner, size = np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes)
+            length = np.array(list(map(len, tokens)))
+            token, owner, size, cluster = np.concatenate(tokens), np.repeat(ents, length), np.repeat(np.array(sizes, np.uint8), length), np.repeat(clusters, length)
             bucket = ((token >> _U(20)) % n_buckets).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            token, owner, size, bucket = token[order], owner[order], size[order], bucket[order]
+            token, owner, size, cluster, bucket = token[order], owner[order], size[order], cluster[order], bucket[order]
             ends = np.searchsorted(bucket, np.arange(buckets + 1))
             used = [b for b in range(buckets) if ends[b + 1] > ends[b]]
-            data = [token[ends[b] : ends[b + 1]].tobytes() + owner[ends[b] : ends[b + 1]].tobytes() + size[ends[b] : ends[b + 1]].tobytes() for b in used]
-            none = [None] * len(used)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(none, schema.field("id").type), *(pa.array(none, pa.int64()) for _ in range(3)), pa.array(data, pa.binary())], schema=schema)
+            data = []
+            for b in used:
+                t, o, z, c = (x[ends[b] : ends[b + 1]] for x in (token, owner, size, cluster))
+                at = np.flatnonzero(c != o).astype(np.uint32)
+                data.append(len(t).to_bytes(4, "little") + t.tobytes() + o.tobytes() + z.tobytes() + at.tobytes() + c[at].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(data, pa.binary())], schema=schema)
 
     return run
 
 
-def tiles(token: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tile, entity, low) of all tiles with a low member (of the tile's own band) and another. High members are of the next band."""
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    token, owner, size = np.frombuffer(data, np.uint64, n, 4), np.frombuffer(data, np.int64, n, 4 + 8 * n), np.frombuffer(data, np.uint8, n, 4 + 16 * n)
+    m = (len(data) - 4 - 17 * n) // 12
+    cluster = owner.copy()
+    cluster[np.frombuffer(data, np.uint32, m, 4 + 17 * n)] = np.frombuffer(data, np.int64, m, 4 + 17 * n + 4 * m)
+    return token, owner, size, cluster
+
+
+def tiles(token: np.ndarray, owner: np.ndarray, size: np.ndarray, cluster: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tile, entity, low) of all tiles with a low member (of the tile's own band) and another. High members are of the next
+    band. Tiles inside one cluster are left out."""
     order = np.lexsort((owner, size, token))
-    token, owner, size = token[order], owner[order], size[order].astype(np.int64)
-    if len(token) > 1:  # an entity may have come from several tasks
-        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])])
-        token, owner, size = token[fresh], owner[fresh], size[fresh]
+    token, owner, size, cluster = token[order], owner[order], size[order].astype(np.int64), (owner if cluster is None else cluster)[order]
     twice = np.zeros(len(token), bool)
     if len(token) > 1:
         same = token[1:] == token[:-1]
         twice[1:] |= same
         twice[:-1] |= same
-    token, owner, size = token[twice], owner[twice], size[twice]
+    token, owner, size, cluster = token[twice], owner[twice], size[twice], cluster[twice]
     low = mixed(token + (size.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15))
     high = mixed(token + size.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
     tile = np.concatenate([low, high[size > 0]])
     member = np.concatenate([owner, owner[size > 0]])
+    cluster = np.concatenate([cluster, cluster[size > 0]])
     is_low = np.concatenate([np.ones(len(low), bool), np.zeros(int((size > 0).sum()), bool)])
     order = np.lexsort((member, ~is_low, tile))
-    tile, member, is_low = tile[order], member[order], is_low[order]
+    tile, member, is_low, cluster = tile[order], member[order], is_low[order], cluster[order]
     if len(tile) == 0:
         return tile.view(np.int64), member, is_low
     first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
     length = np.diff(np.concatenate([first, [len(tile)]]))
-    good = np.repeat((length > 1) & is_low[first], length)
+    several = np.minimum.reduceat(cluster, first) < np.maximum.reduceat(cluster, first)
+    good = np.repeat(several & is_low[first], length)
     return tile[good].view(np.int64), member[good], is_low[good]
 
 
@@ -286,13 +330,7 @@ def _group(schema: pa.Schema):
     """Packed prefixes of a bucket to rows (grp, ent): the smallest member of a tile, and each member."""
 
     def run(table: pa.Table) -> pa.Table:
-        tokens, owners, sizes = [], [], []
-        for data in table.column("data").to_pylist():
-            n = len(data) // 17
-            tokens.append(np.frombuffer(data, np.uint64, n))
-            owners.append(np.frombuffer(data, np.int64, n, 8 * n))
-            sizes.append(np.frombuffer(data, np.uint8, n, 16 * n))
-        tile, member, _ = tiles(np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes))
+        tile, member, _ = tiles(*map(np.concatenate, zip(*map(_unpacked, table.column("data").to_pylist()), strict=True)))
         if not len(tile):
             return pa.table([pa.array([], pa.int64())] * 2, schema=schema)
         first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
@@ -316,20 +354,20 @@ def _mark(schema: pa.Schema):
     return run
 
 
-def _bound(schema: pa.Schema):
+def _bound(schema: pa.Schema, num: int, den: int):
     """Rows (a, b, n_a, bits_a, n_b, bits_b): the pairs that bit counts leave possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n_a, bits_a, n_b, bits_b = (c.to_pylist() for c in batch.columns)
-            left = [k for k in range(len(a)) if possible(n_a[k], np.frombuffer(bits_a[k], np.uint64), n_b[k], np.frombuffer(bits_b[k], np.uint64))]
+            left = [k for k in range(len(a)) if possible(n_a[k], np.frombuffer(bits_a[k], np.uint64), n_b[k], np.frombuffer(bits_b[k], np.uint64), num, den)]
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in left], pa.int64()), pa.array([b[k] for k in left], pa.int64())], schema=schema)
 
     return run
 
 
-def _compare(schema: pa.Schema):
-    """Rows (a, b, text_a, text_b): the similar pairs, by intersection of the sorted arrays."""
+def _compare(schema: pa.Schema, num: int, den: int):
+    """Rows (a, b, text_a, text_b): the pairs (a, b, linked) as similar as num / den, by intersection of the sorted arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -344,8 +382,12 @@ def _compare(schema: pa.Schema):
                 a, b, text_a, text_b = (c.to_pylist() for c in whole.slice(k, SLICE).columns)
                 if len(held) > REMEMBERED:
                     held.clear()
-                linked = [n for n, (s, t) in enumerate(zip(sets(a, text_a), sets(b, text_b), strict=True)) if similar(len(s), len(t), len(np.intersect1d(s, t, assume_unique=True)))]
-                yield pa.RecordBatch.from_arrays([pa.array([a[n] for n in linked], pa.int64()), pa.array([b[n] for n in linked], pa.int64())], schema=schema)
+                found = []
+                for x, y, s, t in zip(a, b, sets(a, text_a), sets(b, text_b), strict=True):
+                    shared = len(np.intersect1d(s, t, assume_unique=True))
+                    if similar(len(s), len(t), shared, num, den):
+                        found.append((x, y, similar(len(s), len(t), shared)))
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.bool_())], schema=schema)
 
     return run
 
@@ -443,48 +485,79 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = rows.select("text").mapInArrow(_count, "part int, counts binary").groupBy("part").applyInArrow(_add_counts, "part int, counts binary")
     parts = {r["part"]: np.frombuffer(zstandard.decompress(r["counts"]), np.int64) for r in counts.collect()}  # 4 M counters, whatever the input
     table = np.concatenate([parts[k] for k in range(PARTS)]) if parts else np.zeros(1 << COUNTER_BITS, np.int64)
-    table = table * 60_000 // max(60_000, int(table.max()))
-    held = spark.sparkContext.broadcast(zstandard.compress(table.astype(np.uint16).tobytes(), 1))
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    packed_schema = f"bucket int, id {kind}, of long, n long, ent long, data binary"
-    packed = written(rows.mapInArrow(_sets(held, buckets, arrow(packed_schema)), packed_schema), "join-sets")
-    known = packed.where("bucket < 0").select("id", "of", "n", "ent")
-
-    group_schema = "grp long, ent long"
-    members = packed.where("bucket >= 0").select("bucket", "data").groupBy("bucket").applyInArrow(_group(arrow(group_schema)), group_schema)
-    members = written(members.distinct(), "join-groups")
-    wanted = members.select("ent").distinct()
-    few = wanted.limit(BROADCAST_ENTITIES + 1).count() <= BROADCAST_ENTITIES
-    texts = packed.where("bucket < 0 and n > 0").select("ent", F.col("data").alias("text")).join(F.broadcast(wanted) if few else wanted, "ent", "left_semi")
-    texts = written(texts.groupBy("ent").agg(F.first("text").alias("text")), "join-texts")
-
-    pair_schema = "a long, b long"
-
-    mark_schema = "ent long, n long, bits binary"
-    marks = written(texts.mapInArrow(_mark(arrow(mark_schema)), mark_schema), "join-marks")
+    held = spark.sparkContext.broadcast(zstandard.compress((np.log2(table + 1.0) * 1000).astype(np.uint16).tobytes(), 1))
+
+    sets_schema = f"id {docs.schema[id_col].dataType.simpleString()}, of long, n long, ent long, more long, keys array<long>, rank int, text binary"
+    sets = written(rows.mapInArrow(_sets(held, arrow(sets_schema)), sets_schema), "join-sets")
+    clash = written(sets.groupBy("ent").agg(F.min("more").alias("x"), F.max("more").alias("y")).where("x <> y").select("ent"), "join-clashes")
+    if not clash.isEmpty():  # different sets that share 64 bits
+        apart = sets.join(clash.withColumn("clash", F.lit(True)), "ent", "left")
+        sets = written(apart.withColumn("ent", F.when(F.col("clash"), F.xxhash64("ent", "more")).otherwise(F.col("ent"))).select(*sets.columns), "join-sets")
+    known = sets.select("id", "of", "n", "ent")
+
+    def texts_of(wanted: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Rows (ent, text) and (ent, n, bits) of the entities in wanted."""
+        few = wanted.limit(BROADCAST_ENTITIES + 1).count() <= BROADCAST_ENTITIES
+        found = sets.where("n > 0").select("ent", "text").join(F.broadcast(wanted) if few else wanted, "ent", "left_semi")
+        found = written(found.groupBy("ent").agg(F.first("text").alias("text")), f"{name}-texts")
+        mark_schema = "ent long, n long, bits binary"
+        return found, written(found.mapInArrow(_mark(arrow(mark_schema)), mark_schema), f"{name}-marks")
+
+    pair_schema, found_schema = "a long, b long", "a long, b long, linked boolean"
 
     def both(pairs: DataFrame, table: DataFrame, *values: str) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(table.withColumnsRenamed({"ent": side, **{v: f"{v}_{side}" for v in values}}), side)
         return pairs.select("a", "b", *(f"{v}_{side}" for side in ("a", "b") for v in values))
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        left = written(both(pairs, marks, "n", "bits").mapInArrow(_bound(arrow(pair_schema)), pair_schema), f"{name}-possible")
-        return both(left, texts, "text").mapInArrow(_compare(arrow(pair_schema)), pair_schema)
-
+    def verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, name: str, num: int = NUM, den: int = DEN) -> DataFrame:
+        left = written(both(pairs, marks, "n", "bits").mapInArrow(_bound(arrow(pair_schema), num, den), pair_schema), f"{name}-possible")
+        return written(both(left, texts, "text").mapInArrow(_compare(arrow(found_schema), num, den), found_schema), f"{name}-links")
+
+    def labelled(df: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
+        """Adds the class of column's node, itself where it has none."""
+        own = labels.select(F.col("node").alias("__node"), F.col("class").alias("__class"))
+        return df.join(own, df[column] == own["__node"], "left").withColumn(out, F.coalesce("__class", column)).drop("__node", "__class")
+
+    node_schema = arrow("node long, class long")
+    ents = sets.where("n > 0").groupBy("ent").agg(F.first("n").alias("n"), F.first("rank").alias("rank"), F.first("keys").alias("keys"))
+    ents = written(ents, "join-entities")
+    meetings = []
+    for k in range(KEYS):
+        keyed = ents.select("ent", "n", "rank", F.col("keys")[k].alias("key"))
+        named = keyed.groupBy("key").agg(F.max(F.struct("rank", F.negative("ent").alias("minus"), "ent", "n")).alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        size_fits = (NEAR_DEN * F.least("n", "m.n") >= NEAR_NUM * F.greatest("n", "m.n")) & (F.col("ent") != F.col("m.ent"))
+        meetings.append(keyed.join(named, "key").where(size_fits).select("ent", F.col("m.ent").alias("centre"), F.lit(k).alias("k")))
+    met = written(reduce(DataFrame.union, meetings), "join-met")
+    texts, marks = texts_of(met.select("ent").union(met.select("centre")).distinct(), "join-met")
     classes = spark.createDataFrame([], "node long, class long")
-    links: DataFrame | None = None
-    left = members.withColumn("class", F.col("ent"))
-    tested: DataFrame | None = None
+    links, near, tested = (spark.createDataFrame([], pair_schema) for _ in range(3))
+    for k in range(KEYS):
+        pairs = labelled(labelled(met.where(F.col("k") == k), classes, "ent", "own"), classes, "centre", "other").where("own <> other")
+        pairs = pairs.select(F.greatest("ent", "centre").alias("a"), F.least("ent", "centre").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, f"join-met{k}")
+        if pairs.isEmpty():
+            continue
+        tested = tested.union(pairs)
+        new = verified(pairs, texts, marks, f"join-met{k}", NEAR_NUM, NEAR_DEN)
+        links, near = links.union(new.where("linked").select("a", "b")), near.union(new.select("a", "b"))
+        classes = contracted(links, node_schema, one_task)
+    clusters = contracted(near, node_schema, one_task)
+
+    prefix_schema, group_schema = "bucket int, data binary", "grp long, ent long"
+    whole = sets.where("n > 0").groupBy("ent").agg(F.first("text").alias("text"))
+    tokens = labelled(whole, clusters, "ent", "cluster").select("ent", "cluster", "text").mapInArrow(_prefixes(held, buckets, arrow(prefix_schema)), prefix_schema)
+    members = tokens.groupBy("bucket").applyInArrow(_group(arrow(group_schema)), group_schema)
+    inside = clusters.select(F.xxhash64("class").alias("grp"), F.col("node").alias("ent"))  # mixed ones stay below
+    members = labelled(written(members.union(inside).distinct(), "join-groups"), classes, "ent", "class")
+    left = written(_several(members), "join-left")
+    texts, marks = texts_of(left.select("ent").distinct(), "join")
+
     for k in range(star_rounds + 1):
         if k:
-            found = left.drop("class").join(classes, left["ent"] == classes["node"], "left")
-            found = found.select("grp", "ent", F.coalesce("class", "ent").alias("class"))
-            mixed_up = found.groupBy("grp").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("grp")
-            left = written(found.join(mixed_up, "grp", "left_semi"), f"join-left{k}")
-            if left.isEmpty():
-                break
+            left = written(_several(labelled(left.drop("class"), classes, "ent", "class")), f"join-left{k}")
+        if left.isEmpty():
+            break
         if k < star_rounds:
             named = left.groupBy("grp").agg(F.min_by(F.struct("ent", "class"), F.xxhash64("grp", "ent", F.lit(k)) if k else F.col("ent")).alias("m"))
             pairs = left.join(named, "grp").where("ent <> m.ent and class <> m.class").select("ent", F.col("m.ent").alias("other"))
@@ -493,21 +566,23 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.select(F.greatest("ent", "other").alias("a"), F.least("ent", "other").alias("b")).distinct()
         else:
             pairs = _blocks(left, marks, block, arrow(pair_schema), pair_schema).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"join-pairs{k}")
-        tested = pairs if tested is None else tested.union(pairs)
-        new = written(verified(pairs, f"join-pairs{k}"), f"join-links{k}")
-        links = new if links is None else links.union(new)
-        classes = contracted(links, arrow("node long, class long"), one_task)
-
-    least = known.where("n > 0").groupBy("ent").agg(F.min("id").alias("least"))
-    least = least.join(classes, least["ent"] == classes["node"], "left").select("ent", "least", F.coalesce("class", "ent").alias("class"))
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), f"join-pairs{k}")
+        tested = tested.union(pairs)
+        links = links.union(verified(pairs, texts, marks, f"join-pairs{k}").select("a", "b"))
+        classes = contracted(links, node_schema, one_task)
+
+    least = labelled(known.where("n > 0").groupBy("ent").agg(F.min("id").alias("least")), classes, "ent", "class")
     joined = least.join(least.groupBy("class").agg(F.min("least").alias("component_id")), "class").select(F.col("ent").alias("__ent"), "component_id", "class")
     out = known.join(joined, (known["ent"] == joined["__ent"]) & (known["n"] > 0), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "class", "of")
 
 
+def _several(members: DataFrame) -> DataFrame:
+    """The members (grp, ent, class) of groups with more than one class."""
+    mixed_up = members.groupBy("grp").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("grp")
+    return members.join(mixed_up, "grp", "left_semi").select("grp", "ent", "class")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near copies: of each class the row of the smallest id stays (of several, one), and every row
     without words."""
