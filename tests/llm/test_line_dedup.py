@@ -44,6 +44,29 @@ def test_hot_and_repeated_lines(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_hot_lines_by_broadcast_or_hash(spark):
+    rows = [(k, "a line that every document has here\n" + f"a line that some documents have: {k % 9}\nown {k}") for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute([(r.doc_id, r.text) for r in df.collect()])
+    for heavy in (0, 5, 10**6):  # none, the one line, all
+        assert Counter((r.doc_id, r.line_dedup.n_lines, r.line_dedup.n_dropped, r.text) for r in line_dedup(df, heavy=heavy).collect()) == want
+
+
+def test_names_used_inside(spark):
+    rows = [(k, "a line that every document has here\nown", k, k, k, k, k, k) for k in range(9)]
+    check(spark.createDataFrame(rows, "doc_id long, text string, dropped int, of int, of_id int, id int, doc int, `lines` int"))
+
+
+def test_batches_meet_runs_without_shuffling_them(spark):
+    runs = LineRuns(spark)
+    rows = lambda *v: spark.createDataFrame(v, "h1 long, h2 long, docs long, keeper long")
+    runs.add(rows((1, 1, 2, 90), (2, 2, 1, 95)))
+    merged = runs._merged([runs.runs()[0], runs._write(rows((3, 3, 1, 9)).withColumn("first", F.lit(True)))])
+    assert merged.count() == 3
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_empty(none):
     assert line_dedup(none).count() == 0
 
