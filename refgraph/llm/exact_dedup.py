@@ -6,8 +6,12 @@ RocksDB on the executors' disks with its log in the checkpoint folder, so it is
 expires, and later batches continue it. Where a digest was hit more than once, the full texts are compared; digests that
 stand for different texts are split by text.
 
-Nulls: a null text counts as empty. A null id never stays while its group has an id. Rows that repeat, ids included, count
-one by one and exactly one stays. An empty table gives an empty result. Other columns are ignored.
+Rows meet the state and each other by digest. A digest with more than one row in HEAVY has its rows dealt out over as many
+salts; there are HEAVY such digests at most, which are broadcast. Only texts that were hit take part in a comparison.
+
+Nulls: a null text counts as empty. A null id never stays while its group has an id. Ties: of rows with the largest id one
+stays, that of the last file and row. Very long texts are compared whole. Rows that repeat, ids included, count one by one and
+exactly one stays. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from pyspark.sql import types as T
 from .common import lower_ascii, work_dir, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Up to so many hit digests are broadcast (about 100 bytes each); more are joined by shuffle.
-BROADCAST_HITS = 100_000
+#: A digest with more than one part in so many of all rows is dealt out over as many tasks.
+HEAVY = 1024
 
 
 def normalised(text: Column) -> Column:
@@ -87,20 +91,26 @@ class DedupState:
         return self.spark.read.schema(rows.schema).parquet(out)
 
 
-def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, state: DedupState | None = None, max_files: int | None = None, broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
+def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, state: DedupState | None = None, max_files: int | None = None, heavy: int = HEAVY) -> DataFrame:
     """Rows (id_col, keep_id, group_size, kept, digest, text_sha256), one per row of the Parquet table at path."""
     docs = spark.read.parquet(path)
     state = state or DedupState(spark, digest=digest, id_col=id_col, text_col=text_col)
     state.ingest(path, max_files=max_files)
     kept = state.read(docs.schema[id_col].dataType)
-    rows = _rows(docs, id_col, text_col, digest)
-
-    hits = kept.where("n > 1").select("digest")
-    few = hits.limit(broadcast_hits + 1).count() <= broadcast_hits
-    texts = rows.join(F.broadcast(hits), "digest", "left_semi") if few else rows
-    texts = texts.groupBy("digest", "norm").agg(F.max(F.struct("id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
-    texts = texts if few else texts.join(hits, "digest", "left_semi")
-    clashing = written(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "dedup-clashes")
+    total = kept.agg(F.sum("n")).first()[0] or 0
+    hot = kept.where(F.col("n") * heavy > total).select("digest", F.lit(True).alias("hot"))  # fewer than `heavy`
+    salts = F.when(F.col("n") * heavy > total, F.sequence(F.lit(0), F.lit(heavy - 1))).otherwise(F.array(F.lit(0)))
+    kept = kept.withColumn("salt", F.explode(salts))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("file", "row"), F.lit(heavy))).otherwise(F.lit(0)).cast("int")
+    rows = _rows(docs, id_col, text_col, digest).join(F.broadcast(hot), "digest", "left").withColumn("salt", salt)
+
+    # the texts of a digest are one if the least and the largest are
+    hits = kept.where("n > 1").select("digest", "salt")
+    texts = rows.select("digest", "salt", "hot", "norm").join(hits, ["digest", "salt"], "left_semi")
+    texts = texts.groupBy("digest", "salt").agg(F.min("norm").alias("low"), F.max("norm").alias("high"), F.bool_or("hot").alias("hot"))
+    once = texts.where("hot is null and low <> high").select("digest")
+    dealt = texts.where("hot").groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("digest")
+    clashing = written(once.union(dealt), "dedup-clashes")
 
     def result(part: DataFrame) -> DataFrame:
         stays = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
@@ -108,7 +118,7 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
         return part.select(F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), stays.alias("kept"), F.col("digest"), whole.alias("text_sha256"))
 
     if clashing.isEmpty():
-        return result(rows.join(kept, "digest"))
+        return result(rows.join(kept, ["digest", "salt"]))
     split = rows.join(clashing, "digest", "left_semi")
     groups = split.groupBy("digest", "norm").agg(F.max(F.struct("id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
-    return result(rows.join(clashing, "digest", "left_anti").join(kept, "digest")).union(result(split.join(groups, ["digest", "norm"])))
+    return result(rows.join(clashing, "digest", "left_anti").join(kept, ["digest", "salt"])).union(result(split.join(groups, ["digest", "norm"])))

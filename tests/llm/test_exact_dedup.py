@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from refgraph.llm import exact_dedup as exact_dedup_module
 from refgraph.llm.exact_dedup import DedupState, exact_dedup
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -34,7 +35,31 @@ def test_odd_rows(spark, odd_path):
 
 def test_clashing_digests_are_split_by_text(spark, odd_path):
     check(spark, odd_path, digest=lambda t: F.length(t).cast("string"))
-    check(spark, odd_path, digest=lambda t: F.lit("same"), broadcast_hits=0)
+    check(spark, odd_path, digest=lambda t: F.lit("same"), heavy=2)
+
+
+def test_hot_text(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    rows = [(k, "the one text of very many rows" if k % 3 else f"text {k % 40}", k, k, k, k) for k in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, salt int, hot int, digest int, norm int").repartition(4).write.parquet(path)
+    check(spark, path)
+    check(spark, path, heavy=4)
+    check(spark, path, heavy=4, digest=lambda t: F.length(t).cast("string"))
+
+
+def test_texts_without_a_copy_are_not_grouped(spark, odd_path):
+    """Texts leave the comparison before they are grouped: the semi join with the hits stands below every aggregate over texts."""
+    plans = []
+    keep = exact_dedup_module.written
+    exact_dedup_module.written = lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name)
+    try:
+        exact_dedup(spark, odd_path)
+    finally:
+        exact_dedup_module.written = keep
+    lines = plans[-1].splitlines()
+    least = [k for k, line in enumerate(lines) if "min(norm" in line]
+    semi = [k for k, line in enumerate(lines) if "LeftSemi" in line]
+    assert len(least) == len(semi) == 2 and least[0] < semi[0] < least[1] < semi[1]
 
 
 def test_batches_continue_the_state(spark, odd, tmp_path):
