@@ -1,18 +1,19 @@
 """Fingerprints: threshold-scaled sketches of five-word shingles.
 
-A sketch keeps every shingle hash below one part in SCALE of the hash range, so it grows with its document, sketches of parts
-merge by union, and containment can be estimated between documents of very unequal length: what two sketches hold below the
-lower of their limits is a uniform sample of both sets. So that short texts have a sketch too, one keeps at least its LEAST
-smallest hashes; its limit is then the largest hash kept, and with fewer shingles it is complete and has no limit.
+A sketch keeps every shingle hash below a fixed fraction of the hash range, one in SCALE. So it grows with its document,
+sketches of parts merge by union, and containment can be estimated between documents of very unequal length: what a sketch holds
+is a uniform sample of the document's shingles, the same one in every document. Beside it stands a hash of the document's words
+in order, by which equal documents are known even where no shingle is kept.
 
 An estimate rests on the m hashes that can be compared (compared()); the standard error of a containment c is sqrt(c (1 - c) / m).
-Of a text of n shingles against a long one m is about n / SCALE. None can be compared with probability (1 - 1 / SCALE)^n: 13% for
-5 shingles, 0.2% for 15, 0.03% for 20. The containment is then unknown, which is null and not 0.
+Of a text of n shingles m is about n / SCALE. None is kept with probability (1 - 1 / SCALE)^n: 13% for 5 shingles, 0.2% for 15,
+0.03% for 20. The containment is then unknown, which is null and not 0, unless the texts are equal; the likeness, a number in
+any case, is then 1 for equal texts and else 0.
 
 Words are parted by space and tab to carriage return. A text of fewer words than a shingle has is one shingle; a text without
-words has an empty sketch. Nulls: a null text is an empty one; a row of null id stands below all others. Rows that repeat
-(id and text) are one document of the order, returned as often as they occur; rows of one id follow each other by text. An
-empty table gives an empty result. Other columns are ignored.
+words has an empty sketch. Nulls: a null text is an empty one; a row of null id stands below all others. Very long texts are
+sketched whole. Ties: rows that repeat (id and text) are one document of the order, returned as often as they occur; rows of one
+id follow each other by text. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import words, written
 
-SHINGLE, SCALE, LEAST = 5, 3, 16
-MOST = 2**63 - 1
+SHINGLE, SCALE = 5, 3
 
 
-def with_sketch(df: DataFrame, text: str, out: str, shingle: int = SHINGLE, scale: int = SCALE, least: int = LEAST) -> DataFrame:
-    """Adds out: struct<limit bigint, hashes array<bigint>>, hashes sorted."""
+def with_sketch(df: DataFrame, text: str, out: str, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
+    """Adds out: struct<whole bigint, hashes array<bigint>>, hashes sorted. whole: of the words in order, null if there are none."""
     below = -(2**63) + 2**64 // scale
     hashes = F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
     df = df.withColumn("__words", hashes)
@@ -35,47 +35,36 @@ def with_sketch(df: DataFrame, text: str, out: str, shingle: int = SHINGLE, scal
     all_ = F.when(n == 0, F.array().cast("array<bigint>")).when(n < shingle, F.array(F.xxhash64("__words"))).otherwise(
         F.transform(F.sequence(F.lit(1), n - (shingle - 1)), lambda i: F.xxhash64(F.slice("__words", i, shingle)))
     )
-    df = df.withColumn("__all", all_)
-    df = df.withColumn("__low", F.array_distinct(F.filter("__all", lambda h: h < below)))
-    full = F.sort_array(F.array_distinct("__all"))
-    df = df.withColumn("__kept", F.when(F.size("__low") >= least, F.sort_array("__low")).otherwise(F.slice(full, 1, least)))
-    complete = (F.size("__low") < least) & (F.size("__kept") < least)
-    limit = F.when(F.size("__low") >= least, F.lit(below - 1)).when(complete, F.lit(MOST)).otherwise(F.element_at("__kept", -1))
-    return df.withColumn(out, F.struct(limit.cast("long").alias("limit"), F.col("__kept").alias("hashes"))).drop("__words", "__all", "__low", "__kept")
+    kept = F.sort_array(F.array_distinct(F.filter(all_, lambda h: h < below)))
+    return df.withColumn(out, F.struct(F.when(n > 0, F.xxhash64("__words")).alias("whole"), kept.alias("hashes"))).drop("__words")
 
 
 def likeness(a: str, b: str) -> Column:
-    """The estimated Jaccard similarity of two sketches; 1 for two empty ones."""
-    x, y, both = _shared(a, b)
-    union = F.size(x) + F.size(y) - F.size(both)
-    return F.when(union == 0, F.when(F.size(f"{a}.hashes") + F.size(f"{b}.hashes") == 0, 1.0).otherwise(0.0)).otherwise(F.size(both) / union)
+    """The estimated Jaccard similarity of two sketches."""
+    both = F.size(F.array_intersect(f"{a}.hashes", f"{b}.hashes"))
+    union = F.size(f"{a}.hashes") + F.size(f"{b}.hashes") - both
+    equal = F.col(f"{a}.whole").eqNullSafe(F.col(f"{b}.whole"))
+    return F.when(equal, 1.0).when(union == 0, 0.0).otherwise(both / union)
 
 
 def containment(a: str, b: str) -> Column:
-    """The estimated part of a's shingles that b holds; 1 for an empty a, 0 for an empty b, null where no hash can be compared."""
-    x, _, both = _shared(a, b)
-    return F.when(F.size(f"{a}.hashes") == 0, 1.0).when(F.size(x) > 0, F.size(both) / F.size(x))
+    """The estimated part of a's shingles that b holds; 1 for an a without words, null where a keeps no hash."""
+    equal = F.col(f"{a}.whole").eqNullSafe(F.col(f"{b}.whole")) | F.col(f"{a}.whole").isNull()
+    return F.when(equal, 1.0).when(F.size(f"{a}.hashes") > 0, F.size(F.array_intersect(f"{a}.hashes", f"{b}.hashes")) / F.size(f"{a}.hashes"))
 
 
-def compared(a: str, b: str) -> Column:
-    """How many of a's hashes the containment of a in b rests on."""
-    return F.size(_shared(a, b)[0])
+def compared(a: str) -> Column:
+    """How many hashes a containment of a rests on."""
+    return F.size(f"{a}.hashes")
 
 
-def _shared(a: str, b: str) -> tuple[Column, Column, Column]:
-    limit = F.least(f"{a}.limit", f"{b}.limit")
-    x, y = (F.filter(f"{s}.hashes", lambda h: h <= limit) for s in (a, b))
-    return x, y, F.array_intersect(x, y)
-
-
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of two parts together."""
-    limit = F.least(a["limit"], b["limit"])
-    return F.struct(limit.alias("limit"), F.sort_array(F.array_distinct(F.filter(F.concat(a["hashes"], b["hashes"]), lambda h: h <= limit))).alias("hashes"))
+def merged(a: Column, b: Column, whole: Column) -> Column:
+    """The sketch of two parts together; whole: as of the words of both."""
+    return F.struct(whole.alias("whole"), F.sort_array(F.array_distinct(F.concat(a["hashes"], b["hashes"]))).alias("hashes"))
 
 
 def spelled(sketch: str) -> Column:
-    return F.concat_ws(":", F.hex(f"{sketch}.limit"), F.array_join(F.transform(f"{sketch}.hashes", lambda h: F.hex(h)), ","))
+    return F.concat(F.coalesce(F.hex(f"{sketch}.whole"), F.lit("")), F.lit(":"), F.array_join(F.transform(f"{sketch}.hashes", lambda h: F.hex(h)), ","))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -98,7 +87,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, n_chars, edited, sketch, edited_sketch, next_sketch), one per row of docs. edited: the text whose last half
     (floor of code points) gives way to as much of the start of the next document."""
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     base = base.select("id", F.xxhash64("text").alias("of"), "text")
     order = neighbours(base.select("id", "of", F.char_length("text").cast("long").alias("n")))
     repeated = order.count() < base.count()
