@@ -28,6 +28,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value made once, however often body and the functions in it refer to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir; where that is unset (one machine, tests) an own one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

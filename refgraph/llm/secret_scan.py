@@ -5,12 +5,13 @@ that no base span touches are candidates. The smallest alphabet that a candidate
 encoding. Under the null hypothesis that it is written language three tests are made: the chi-squared distance of its
 characters from an even spread over the alphabet (language repeats few letters; random tokens stay near even), the runs of one
 character class (language stays in a class), and the serial correlation of neighbouring code points (which random tokens do
-not have; more than SERIAL_Z deviations rule a candidate out). The deviations shrink with length, so a longer token needs
+not have; more than SERIAL_Z deviations rule a candidate out, whatever the other two say). The deviations shrink with length, so a longer token needs
 less per character. The summed z-scores give a p-value, and the Benjamini-Hochberg rule over all candidates of a length
 class, run on a histogram of p-values, bounds the share of false discoveries by RATE.
 
-Spans are (kind, start, end) in code points, end exclusive. Nulls: a null text is an empty one. Rows that repeat are rows of
-their own. An empty table gives an empty result. Other columns are ignored.
+Spans are (kind, start, end) in code points, end exclusive. Nulls: a null text is an empty one. Very long texts are scanned
+whole; time grows about with the number of spans to the power 1.5. Ties: spans of one start stand by kind. Rows that repeat are
+rows of their own. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import let, written
 
 # The base patterns, their kinds in order, and what a match needs.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,6 +34,8 @@ RATE = 0.01
 #: Of written language: how often two characters are equal, and three; how often the character class changes.
 REPEAT, REPEAT_3, CHANGE = 0.066, 0.0059, 0.1
 SERIAL_Z = 4.0
+#: Spans gathered at once.
+CHUNK = 64
 
 
 def _spans(text: Column, pattern: str) -> Column:
@@ -41,16 +44,40 @@ def _spans(text: Column, pattern: str) -> Column:
     return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,end:int,match:string>>")).otherwise(_placed(found, F.split(text, pattern, -1)))
 
 
+def _chunks(items: Column) -> Column:
+    """items in runs of CHUNK: what is gathered run by run is not copied as a whole at every item."""
+    return let(items, lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda k: F.slice(all_, k * CHUNK + 1, CHUNK)))
+
+
 def _placed(found: Column, pieces: Column) -> Column:
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("spans"))
+    """The places of matches, of which there is one at least: first where each chunk begins, then inside the chunks."""
+    pairs = F.transform(
+        F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("match")), lambda p: F.struct(F.char_length(p["piece"]).alias("gap"), F.char_length(p["match"]).alias("size"), p["match"].alias("match"))
+    )
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    length = lambda chunk: F.aggregate(chunk, F.lit(0), lambda n, p: n + p["gap"] + p["size"])
+    starts = lambda chunks: F.aggregate(chunks, first, lambda acc, chunk: F.struct((acc["at"] + length(chunk)).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+
+    def inside(chunk: Column, at: Column) -> Column:
+        def step(acc: Column, p: Column) -> Column:
+            begin = acc["at"] + p["gap"]
+            end = begin + p["size"]
+            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), p["match"].alias("match")))).alias("spans"))
+
+        return F.aggregate(chunk, F.struct(at.alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("spans")), step, lambda acc: acc["spans"])
+
+    return let(_chunks(pairs), lambda chunks: F.flatten(F.zip_with(chunks, starts(chunks), inside)))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.char_length(pair["piece"])
-        end = begin + F.char_length(pair["match"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["match"].alias("match")))).alias("spans"))
 
-    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("match"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+def _free(found: DataFrame) -> DataFrame:
+    """Keeps of candidates those that no span of base touches. A candidate looks into those chunks of base that reach over it."""
+    none = F.array().cast("array<struct<low:int,high:int,spans:array<struct<start:int,kind:int,end:int>>>>")
+    reach = lambda c: F.struct(F.array_min(F.transform(c, lambda b: b["start"])).alias("low"), F.array_max(F.transform(c, lambda b: b["end"])).alias("high"), c.alias("spans"))
+    chunks = let(F.col("base"), lambda base: F.when(F.size(base) == 0, none).otherwise(F.transform(_chunks(base), reach)))
+    over = lambda low, high, c: (low < c["end"]) & (c["start"] < high)
+    touched = lambda c, chunks: F.exists(chunks, lambda k: over(k["low"], k["high"], c) & F.exists(k["spans"], lambda b: over(b["start"], b["end"], c)))
+    free = lambda chunks: F.filter("candidates", lambda c: c["match"].rlike("[0-9]") & c["match"].rlike("[A-Za-z]") & ~touched(c, chunks))
+    return found.withColumn("candidates", let(chunks, free))
 
 
 def _kinds(spans: Column, kind: str) -> Column:
@@ -133,7 +160,7 @@ def thresholds(found: DataFrame, rate: float) -> dict[int, float]:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """Rows (id_col, n_assign, n_access, n_hex, base, spans), one per row of docs; base and spans are texts of kind:start:end."""
-    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     found = text.select("id", _spans(F.col("text"), ASSIGN).alias("assign"), _spans(F.col("text"), ACCESS).alias("access"), _spans(F.col("text"), HEX).alias("hex"), _spans(F.col("text"), CANDIDATE).alias("candidates"))
     found = found.withColumns({
         "assign": F.filter("assign", lambda s: F.char_length(F.regexp_extract(s["match"], ASSIGN, 2)) >= LEAST_ASSIGN),
@@ -141,8 +168,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     })
     base = F.array_sort(F.concat(_kinds(F.col("assign"), "assign"), _kinds(F.col("access"), "access"), _kinds(F.col("hex"), "hex")))
     found = found.select("id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), base.alias("base"), "candidates")
-    free = F.filter("candidates", lambda c: c["match"].rlike("[0-9]") & c["match"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    found = written(found.withColumn("candidates", tested(free)), "secret-spans")
+    found = _free(found)
+    found = written(found.withColumn("candidates", tested(F.col("candidates"))), "secret-spans")
 
     limits = thresholds(found, rate)
     passes = lambda c: F.coalesce(*(F.when(_length_class(c["length"]) == k, c["p"] <= p) for k, p in limits.items()), F.lit(False))
