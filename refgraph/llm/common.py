@@ -54,6 +54,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Cuts lineage: the rows as a table in buckets of keys, sorted by them, so that joins by keys don't shuffle it. The table's
+    name leaves the catalogue at once; as it has a path, its files stay in the shared folder."""
+    spark, path = df.sparkSession, work_dir(df.sparkSession, name)
+    table, buckets = path.rpartition("/")[2].replace("-", "_"), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table, format="parquet")
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """The inner join of left with right, which has a row for a key at most. hot: of right, keys that many rows of left have; their
+    number must be bounded, as they are broadcast, so that the rows of one key needn't meet in a task."""
+    often = F.broadcast(right.where(hot))
+    return left.join(often, keys).unionByName(left.join(often.select(*keys), keys, "left_anti").join(right.where(~hot), keys))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, written
+from .common import bucketed, by_value, join_hot, written
 
 SHINGLE = 5
 #: Similarity 0.8 as a fraction.
@@ -53,6 +53,8 @@ PARTS = 32
 STAR_ROUNDS = 2
 #: Hashes by which entities meet before tiles are made, and the similarity, as a fraction, that makes one cluster.
 KEYS, NEAR_NUM, NEAR_DEN = 4, 1, 2
+#: A key of more than one part in so many of all entities finds its centre by broadcast.
+HOT = 1024
 #: Bits of a bitmap for each shingle, at least.
 BITS = 12
 BLOCK = 1024
@@ -344,12 +346,12 @@ def _group(schema: pa.Schema):
 
 
 def _mark(schema: pa.Schema):
-    """Rows (ent, text) to (ent, n, bits)."""
+    """Rows (ent, text) to (ent, n, bits, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = list(shingle_sets([zstandard.decompress(t) for t in batch.column(1).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), batch.column(1)], schema=schema)
 
     return run
 
@@ -495,24 +497,24 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = written(apart.withColumn("ent", F.when(F.col("clash"), F.xxhash64("ent", "more")).otherwise(F.col("ent"))).select(*sets.columns), "join-sets")
     known = sets.select("id", "of", "n", "ent")
 
-    def texts_of(wanted: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Rows (ent, text) and (ent, n, bits) of the entities in wanted."""
+    def signatures(wanted: DataFrame, name: str) -> DataFrame:
+        """Rows (ent, n, bits, text) of the entities in wanted, in buckets by entity."""
         few = wanted.limit(BROADCAST_ENTITIES + 1).count() <= BROADCAST_ENTITIES
         found = sets.where("n > 0").select("ent", "text").join(F.broadcast(wanted) if few else wanted, "ent", "left_semi")
-        found = written(found.groupBy("ent").agg(F.first("text").alias("text")), f"{name}-texts")
-        mark_schema = "ent long, n long, bits binary"
-        return found, written(found.mapInArrow(_mark(arrow(mark_schema)), mark_schema), f"{name}-marks")
+        schema = "ent long, n long, bits binary, text binary"
+        found = found.mapInArrow(_mark(arrow(schema)), schema).groupBy("ent").agg(*(F.first(c).alias(c) for c in ("n", "bits", "text")))
+        return bucketed(found, name, "ent")
 
     pair_schema, found_schema = "a long, b long", "a long, b long, linked boolean"
 
     def both(pairs: DataFrame, table: DataFrame, *values: str) -> DataFrame:
         for side in ("a", "b"):
-            pairs = pairs.join(table.withColumnsRenamed({"ent": side, **{v: f"{v}_{side}" for v in values}}), side)
+            pairs = pairs.join(table.select(F.col("ent").alias(side), *(F.col(v).alias(f"{v}_{side}") for v in values)), side)
         return pairs.select("a", "b", *(f"{v}_{side}" for side in ("a", "b") for v in values))
 
-    def verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, name: str, num: int = NUM, den: int = DEN) -> DataFrame:
+    def verified(pairs: DataFrame, marks: DataFrame, name: str, num: int = NUM, den: int = DEN) -> DataFrame:
         left = written(both(pairs, marks, "n", "bits").mapInArrow(_bound(arrow(pair_schema), num, den), pair_schema), f"{name}-possible")
-        return written(both(left, texts, "text").mapInArrow(_compare(arrow(found_schema), num, den), found_schema), f"{name}-links")
+        return written(both(left, marks, "text").mapInArrow(_compare(arrow(found_schema), num, den), found_schema), f"{name}-links")
 
     def labelled(df: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
         """Adds the class of column's node, itself where it has none."""
@@ -522,14 +524,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node_schema = arrow("node long, class long")
     ents = sets.where("n > 0").groupBy("ent").agg(F.first("n").alias("n"), F.first("rank").alias("rank"), F.first("keys").alias("keys"))
     ents = written(ents, "join-entities")
-    meetings = []
+    meetings, often = [], F.col("size") * HOT > F.lit(ents.count())  # fewer than HOT keys
     for k in range(KEYS):
         keyed = ents.select("ent", "n", "rank", F.col("keys")[k].alias("key"))
         named = keyed.groupBy("key").agg(F.max(F.struct("rank", F.negative("ent").alias("minus"), "ent", "n")).alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
         size_fits = (NEAR_DEN * F.least("n", "m.n") >= NEAR_NUM * F.greatest("n", "m.n")) & (F.col("ent") != F.col("m.ent"))
-        meetings.append(keyed.join(named, "key").where(size_fits).select("ent", F.col("m.ent").alias("centre"), F.lit(k).alias("k")))
+        meetings.append(join_hot(keyed, named, ["key"], often).where(size_fits).select("ent", F.col("m.ent").alias("centre"), F.lit(k).alias("k")))
     met = written(reduce(DataFrame.union, meetings), "join-met")
-    texts, marks = texts_of(met.select("ent").union(met.select("centre")).distinct(), "join-met")
+    marks = signatures(met.select("ent").union(met.select("centre")).distinct(), "join-met")
     classes = spark.createDataFrame([], "node long, class long")
     links, near, tested = (spark.createDataFrame([], pair_schema) for _ in range(3))
     for k in range(KEYS):
@@ -539,7 +541,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if pairs.isEmpty():
             continue
         tested = tested.union(pairs)
-        new = verified(pairs, texts, marks, f"join-met{k}", NEAR_NUM, NEAR_DEN)
+        new = verified(pairs, marks, f"join-met{k}", NEAR_NUM, NEAR_DEN)
         links, near = links.union(new.where("linked").select("a", "b")), near.union(new.select("a", "b"))
         classes = contracted(links, node_schema, one_task)
     clusters = contracted(near, node_schema, one_task)
@@ -551,7 +553,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inside = clusters.select(F.xxhash64("class").alias("grp"), F.col("node").alias("ent"))  # mixed ones stay below
     members = labelled(written(members.union(inside).distinct(), "join-groups"), classes, "ent", "class")
     left = written(_several(members), "join-left")
-    texts, marks = texts_of(left.select("ent").distinct(), "join")
+    marks = signatures(left.select("ent").distinct(), "join")
 
     for k in range(star_rounds + 1):
         if k:
@@ -568,7 +570,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = _blocks(left, marks, block, arrow(pair_schema), pair_schema).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), f"join-pairs{k}")
         tested = tested.union(pairs)
-        links = links.union(verified(pairs, texts, marks, f"join-pairs{k}").select("a", "b"))
+        links = links.union(verified(pairs, marks, f"join-pairs{k}").select("a", "b"))
         classes = contracted(links, node_schema, one_task)
 
     least = labelled(known.where("n > 0").groupBy("ent").agg(F.min("id").alias("least")), classes, "ent", "class")
@@ -585,16 +587,17 @@ def _several(members: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near copies: of each class the row of the smallest id stays (of several, one), and every row
-    without words."""
-    classes = written(jaccard_classes(docs, id_col, text_col), "join-classes").withColumnRenamed(id_col, "__id")
-    first = classes.where("n_shingles > 0").where(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("class").agg(F.min("of").alias("__of"), F.first("__id").alias("__id"))
-    kept = first.select("__id", "__of", F.lit(False).alias("__empty")).union(classes.where("n_shingles = 0").select("__id", "of", F.lit(True)).distinct())
+    without words. A class of which no row has an id keeps one row."""
+    classes = written(jaccard_classes(docs, id_col, text_col).toDF("id", "n", "component", "class", "of"), "join-classes")
+    first = classes.where("n > 0").where(F.col("id").eqNullSafe(F.col("component"))).groupBy("class").agg(F.min("of").alias("kept_of"), F.first("id").alias("kept_id"))
+    kept = first.select("kept_id", "kept_of", F.lit(False).alias("empty")).union(classes.where("n = 0").select("id", "of", F.lit(True)).distinct())
     kept = written(kept, "join-kept")
-    marked = docs.withColumn("__text", F.xxhash64(text_col))
-    out = marked.join(kept, marked[id_col].eqNullSafe(kept["__id"]) & (marked["__text"] == kept["__of"]))
-    if classes.groupBy("__id", "of").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return out.select(*docs.columns)
-    return out.where("not __empty").dropDuplicates([id_col, "__of"]).select(*docs.columns).union(out.where("__empty").select(*docs.columns))
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    marked = marked.withColumns({"id": F.col("doc").getField(id_col), "of": F.xxhash64(F.col("doc").getField(text_col))})
+    out = marked.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("of") == F.col("kept_of")))
+    if not classes.groupBy("id", "of").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        out = out.where("not empty").dropDuplicates(["id", "of"]).union(out.where("empty"))
+    return out.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def _blocks(left: DataFrame, marks: DataFrame, block: int, schema: pa.Schema, ddl: str) -> DataFrame:
@@ -604,7 +607,7 @@ def _blocks(left: DataFrame, marks: DataFrame, block: int, schema: pa.Schema, dd
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     dealt = dealt.select("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.cast("int").alias("side"), "ent", "class")
-    held = dealt.join(marks, "ent").repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q")
+    held = dealt.join(marks.select("ent", "n", "bits"), "ent").repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q")
     return held.mapInArrow(_block(schema), ddl)
 
 

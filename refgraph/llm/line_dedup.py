@@ -19,13 +19,12 @@ an empty result. Other columns are kept, whatever their names, but for one calle
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, work_dir, written
+from .common import bucketed, join_hot, lower_ascii, work_dir, written
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 BATCHES, FANOUT = 4, 2
@@ -41,18 +40,10 @@ class LineRuns:
     """Sorted runs of (h1, h2, docs, keeper, first) in levels. first: this run met the key first and holds its keeper."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels, self.dir = spark, fanout, [], work_dir(spark, "line-runs")
-        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.made = 0
+        self.spark, self.fanout, self.levels = spark, fanout, []
 
     def _write(self, rows: DataFrame) -> DataFrame:
-        name, path = f"line_run_{uuid.uuid4().hex}", f"{self.dir}/{self.made}"
-        self.made += 1
-        rows = rows.select("h1", "h2", "docs", "keeper", "first").repartition(self.buckets, "h1", "h2")
-        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name, format="parquet")
-        run = self.spark.table(name)
-        self.spark.sql(f"DROP TABLE {name}")  # of a table with a path the files stay
-        return run
+        return bucketed(rows.select("h1", "h2", "docs", "keeper", "first"), "line-run", "h1", "h2")
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -126,8 +117,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         runs.add(once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keeper")))
     common = written(runs.read().where(F.col("docs") >= least_docs).select("h1", "h2", "docs", "keeper"), "line-common")
     hot = F.col("docs") * heavy > F.lit(keys.count())  # fewer than `heavy`, as a document has a key in one line at least
-    often = F.broadcast(common.where(hot).select("h1", "h2", "keeper"))
-    dropped = keys.join(often, ["h1", "h2"]).unionByName(keys.join(often, ["h1", "h2"], "left_anti").join(common.where(~hot).drop("docs"), ["h1", "h2"]))
+    dropped = join_hot(keys, common, ["h1", "h2"], hot)
     dropped = dropped.where(~F.col("id").eqNullSafe(F.col("keeper")))
     dropped = dropped.groupBy(F.col("id").alias("of_id"), "of").agg(F.collect_set("pos").alias("dropped"))
 

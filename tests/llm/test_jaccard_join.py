@@ -5,6 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from refgraph.llm import jaccard_join
 from refgraph.llm.jaccard_join import EDGES, PIECE, band, bitmap, deduplicated, jaccard_classes, possible, prefix, shingle_sets, similar
 
 
@@ -85,6 +86,38 @@ def test_deduplicated(spark, odd):
     assert Counter((r.doc_id, (r.text or "")[:9]) for r in rows) == Counter([(1, ""), (2, ""), (3, " \t\n "), (4, "one two t"), (6, "word0 and"), (8, "É grün\nna"), (9, "same text"), (10, "the other"), (None, "a row wit"), (None, "")])
 
 
+def test_names_used_inside(spark):
+    rows = [(k, f"some words of a text that {'all' if k % 2 else k} have here", k, k, k, k, k, k) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `of` int, id int, ent int, doc int, __of int, kept_id int")
+    out = deduplicated(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r["__of"], r.id) for r in out.collect()) == [(k, k, k) for k in (0, 1, 2, 4, 6)]
+
+
+def test_a_large_cluster_stays_linear(spark, monkeypatch):
+    """Of 2,000 edited copies of a text, fewer pairs are held against each other in blocks than there are copies."""
+    rng, base = random.Random(3), [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(2000):
+        copy = list(base)
+        for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 4, 8))):
+            copy[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = {}
+    keep = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: made.setdefault(name, keep(df, name)))
+    check(df)
+    assert made["join-groups"].count() <= 3 * len(rows)
+    assert all(made[name].count() <= len(rows) for name in made if name.startswith("join-pairs"))
+
+
+def test_sets_that_share_half_of_their_digest(spark, monkeypatch):
+    """Different sets of one entity number are told apart by the other half."""
+    whole = jaccard_join.entity
+    monkeypatch.setattr(jaccard_join, "entity", lambda shingles: (len(shingles) % 3, whole(shingles)[1]))
+    check(spark.createDataFrame(near_copies(8, 5), "doc_id long, text string"))
+
+
 def test_empty(none):
     assert jaccard_classes(none).count() == 0
 
