@@ -105,7 +105,12 @@ def test_a_large_cluster_stays_linear(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     made = {}
     keep = jaccard_join.written
-    monkeypatch.setattr(jaccard_join, "written", lambda df, name: made.setdefault(name, keep(df, name)))
+
+    def noted(df, name):
+        made[name] = keep(df, name)
+        return made[name]
+
+    monkeypatch.setattr(jaccard_join, "written", noted)
     check(df)
     assert made["join-groups"].count() <= 3 * len(rows)
     assert all(made[name].count() <= len(rows) for name in made if name.startswith("join-pairs"))
