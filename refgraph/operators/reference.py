@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 
 def unreferenced(nodes: DataFrame, edges: DataFrame, key: str, target: str, exempt: Column | None = None) -> DataFrame:
     """The nodes without an incoming edge, but for exempt ones."""
@@ -95,12 +97,12 @@ def threshold_split(rows: DataFrame, confidence: str, least: float) -> DataFrame
 
 
 def first_match(requests: DataFrame, candidates: Column, known: DataFrame, key: str, out: str = "path") -> DataFrame:
-    """Adds out: the first of an array of candidates that is a key of known, else null. Rows keep their number."""
-    rows = requests.withColumn("__row", F.monotonically_increasing_id())
-    tried = rows.select("__row", F.posexplode(candidates).alias("__at", "__path"))
+    """Adds out: the first of an array of candidates that is a key of known, else null. Each distinct array is looked up once."""
+    rows = requests.withColumn("__tried", candidates)
+    tried = rows.select("__tried").distinct().select("__tried", F.posexplode("__tried").alias("__at", "__path"))
     hits = tried.join(known.select(F.col(key).alias("__path")).distinct(), "__path", "left_semi")
-    best = hits.groupBy("__row").agg(F.min_by("__path", "__at").alias(out))
-    return rows.join(best, "__row", "left").drop("__row")
+    best = hits.groupBy("__tried").agg(F.min_by("__path", "__at").alias(out))
+    return rows.join(best, "__tried", "left").drop("__tried")
 
 
 def alias_match(request: Column, aliases: list[tuple[str, str]]) -> Column:
@@ -136,3 +138,14 @@ def excerpt(text: Column, lines: int) -> Column:
 def ranked(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Adds the number of each row among the rows of its keys."""
     return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def placed(rows: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """Adds the number of each row in an order of all rows. Ranges of the order are sorted apart; only their sizes, one row each,
+    meet in one task. Ties are numbered in any order."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = written(rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.groupBy("__range").count().select("__range", F.coalesce(before, F.lit(0)).alias("__start"))
+    number = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.join(F.broadcast(starts), "__range").withColumn(out, F.col("__start") + number).drop("__range", "__start")

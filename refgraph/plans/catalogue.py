@@ -70,14 +70,17 @@ def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select distinct p_brand, p_type from part p
-where not exists (select 1 from part q join lineitem on l_partkey = q.p_partkey
-                  where l_quantity >= 45 and l_shipdate >= timestamp '1998-06-01' and q.p_brand = p.p_brand and q.p_type = p.p_type)""")
+with used as (select distinct c_nationkey, c_mktsegment, o_orderpriority from orders join customer on c_custkey = o_custkey where o_totalprice > 300000),
+whole as (select distinct c_nationkey from orders join customer on c_custkey = o_custkey where o_totalprice > 430000)
+select distinct c_nationkey, c_mktsegment, o_orderpriority from orders join customer on c_custkey = o_custkey
+except select * from used
+except select c_nationkey, c_mktsegment, o_orderpriority from orders join customer on c_custkey = o_custkey where c_nationkey in (select c_nationkey from whole)""")
 def dead_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    recent = table(spark, sf_dir, "lineitem").where("l_quantity >= 45 and l_shipdate >= timestamp_ntz '1998-06-01'")
-    used = part.join(recent, part["p_partkey"] == recent["l_partkey"]).select("p_brand", "p_type")
-    return ops.dead_members(part.select("p_brand", "p_type").distinct(), used, ["p_brand", "p_type"])
+    """Members (segment, priority) of nations: used by dear orders, and all of a nation's by very dear ones."""
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment")
+    orders = table(spark, sf_dir, "orders").join(customer, "o_custkey")
+    keys = ["c_nationkey", "c_mktsegment", "o_orderpriority"]
+    return ops.dead_members(orders.select(*keys).distinct(), orders.where("o_totalprice > 300000").select(*keys).distinct(), keys, orders.where("o_totalprice > 430000").select(*keys).distinct())
 
 
 @query("""
@@ -166,13 +169,17 @@ def url_path_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-with links as (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as href from pages)
-select page_id, href, case when exists (select 1 from pages p where p.url = href) then 'source' else 'missing' end as kind from links""")
+with links as (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as href from pages),
+known as (select distinct regexp_extract(url, '([0-9]+)[^0-9]*$', 1) as number from pages where page_id % 2 = 0),
+asked as (select page_id, href, regexp_extract(href, '([0-9]+)[^0-9]*$', 1) as number from links)
+select page_id, href, case when number <> '' and number in (select number from known) then number when page_id % 3 = 0 then 'index' end as path from asked""")
 def link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    """Links to numbered pages, by number: as it is, or else, in every third page, by an index."""
+    pages, number = table(spark, sf_dir, "pages"), lambda c: F.regexp_extract(c, "([0-9]+)[^0-9]*$", 1)
     links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
-    found = ops.first_match(links, F.array("href"), pages, "url")
-    return found.select("page_id", "href", F.when(F.col("path").isNull(), "missing").otherwise("source").alias("kind"))
+    known = pages.where("page_id % 2 = 0").select(number("url").alias("number")).union(spark.createDataFrame([("index",)], "number string"))
+    tried = F.filter(F.array(number("href"), F.when(F.col("page_id") % 3 == 0, "index")), lambda x: x.isNotNull() & (x != ""))
+    return ops.first_match(links, tried, known, "number").select("page_id", "href", "path")
 
 
 @query("""
@@ -186,17 +193,14 @@ def candidate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select p_partkey, case when p_name like 'part 1%9' then 'nine/' || substr(p_name, 7, length(p_name) - 7) when p_name like 'part 1%' then 'one/' || substr(p_name, 7)
-  when p_name like 'part%' then 'any/' || substr(p_name, 5) end as target from part""")
+select p_partkey, case when name like 'part 1%9' then 'nine/' || substr(name, 7, length(name) - 7) when name like 'part 1%' then 'one/' || substr(name, 7)
+  when name like 'part%' then 'any/' || substr(name, 5) end as target from (select p_partkey, case when p_size > 40 then p_type else 'part ' || p_partkey end as name from part) p""")
 def prefix_alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("part "), F.col("p_partkey").cast("string"))
+    name = F.when(F.col("p_size") > 40, F.col("p_type")).otherwise(F.concat(F.lit("part "), F.col("p_partkey").cast("string")))
     aliases = [("part*", "any/*"), ("part 1*", "one/*"), ("part 1*9", "nine/*")]
     return table(spark, sf_dir, "part").select("p_partkey", ops.alias_match(name, aliases).alias("target"))
 
 
-ORACLE_SQL["prefix_alias_match"] = ORACLE_SQL["prefix_alias_match"].replace("p_name", "name").replace("from part", "from (select p_partkey, 'part ' || p_partkey as name from part) p")
-
-
 @query("select text, min(doc_id) as doc_id from documents group by text")
 def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.first_occurrence(table(spark, sf_dir, "documents"), "text", "doc_id")
@@ -214,17 +218,8 @@ def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select page_id, url, row_number() over (order by string_split(url, '/'), page_id)::int as place from pages")
 def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.lit(1).alias("one"))
-    return ops.ranked(pages, ["one"], [F.split("url", "/"), F.col("page_id")]).select("page_id", "url", F.col("occurrence").alias("place"))
-
-
-@query("""
-select p_partkey, case when p_size >= 40 then 'orphan-component' when p_type like '%BRASS%' then 'orphan-route-module' else 'orphan-module' end as kind,
-  (case when p_size >= 40 then 0.92 when p_type like '%BRASS%' then 0.84 else 0.88 end)::float as confidence from part""")
-def orphan_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = ops.cascade([(F.col("p_size") >= 40, "orphan-component"), (F.col("p_type").contains("BRASS"), "orphan-route-module"), (F.lit(True), "orphan-module")])
-    sure = F.when(F.col("kind") == "orphan-component", 0.92).when(F.col("kind") == "orphan-route-module", 0.84).otherwise(0.88).cast("float")
-    return table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind")).withColumn("confidence", sure)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return ops.placed(pages, [F.split("url", "/"), F.col("page_id")]).withColumn("place", F.col("place").cast("int"))
 
 
 @query("select event_type, count(*) as n, sum(cast(props->>'$.k' as bigint))::bigint as k from events group by event_type")

@@ -6,7 +6,6 @@ after it is joins and aggregates over the parsed relation, which is written once
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -18,6 +17,7 @@ from refgraph.functions.globs import ignored, rules
 from refgraph.functions.paths import normalize_path, package_name
 from refgraph.operators import classify
 from refgraph.operators import reference as ops
+from refgraph.operators.tables import written
 from refgraph.sources import listing
 from refgraph.sources.config import DEPENDENCIES, EXTENSIONS, ProjectConfig, load_config, read_jsonc
 from refgraph.sources.jsonc import field
@@ -30,10 +30,10 @@ PARSED = (
 )
 # Modules that the runtime brings along.
 BUILTINS = [
-    *(f"_http_{x}" for x in ("agent", "client", "common", "incoming", "outgoing", "server")), *(f"_stream_{x}" for x in ("duplex", "passthrough", "readable", "transform", "wrap", "writable")),
-    "_tls_common", "_tls_wrap", "assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "diagnostics_channel", "dns", "domain", "events",
-    "fs", "http", "http2", "https", "inspector", "module", "net", "os", "path", "perf_hooks", "process", "punycode", "querystring", "readline", "repl", "stream", "string_decoder", "sys",
-    "timers", "tls", "trace_events", "tty", "url", "util", "v8", "vm", "wasi", "worker_threads", "zlib",
+    "_http_agent", "_http_client", "_http_common", "_http_incoming", "_http_outgoing", "_http_server", "_stream_duplex", "_stream_passthrough", "_stream_readable", "_stream_transform",
+    "_stream_wrap", "_stream_writable", "_tls_common", "_tls_wrap", "assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram",
+    "diagnostics_channel", "dns", "domain", "events", "fs", "http", "http2", "https", "inspector", "module", "net", "os", "path", "perf_hooks", "process", "punycode", "querystring",
+    "readline", "repl", "stream", "string_decoder", "sys", "timers", "tls", "trace_events", "tty", "url", "util", "v8", "vm", "wasi", "worker_threads", "zlib",
 ]
 FINDINGS = ["brokenImports", "orphanFiles", "deadExports", "unusedImports", "routeEntrypoints", "deletionCandidates"]
 
@@ -65,15 +65,6 @@ def parse_sources(sources: DataFrame) -> DataFrame:
     return sources.select("file", "content").mapInPandas(parse, PARSED)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/scan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _candidates(imports: DataFrame, config: ProjectConfig) -> DataFrame:
     """Adds __inner (names a file of the project) and __tried (the paths that a request can mean, in order) to rows (file, source, ...)."""
     request = F.col("source")
@@ -96,7 +87,7 @@ def with_unlisted(disk: DataFrame, parsed: DataFrame, config: ProjectConfig) ->
     """disk and the files that imports can mean but the listing lacks: outside the root, or behind linked folders."""
     imports = parsed.select("file", F.explode("imports.source").alias("source"))
     asked = _candidates(imports, config).select(F.explode("__tried").alias("path")).distinct()
-    return _written(disk.select("path").unionByName(listing.existing(asked.join(disk, "path", "left_anti"))))
+    return written(disk.select("path").unionByName(listing.existing(asked.join(disk, "path", "left_anti"))), "scan-disk")
 
 
 def resolve(imports: DataFrame, disk: DataFrame, config: ProjectConfig, packages: dict[str, set[str]]) -> DataFrame:
@@ -108,13 +99,18 @@ def resolve(imports: DataFrame, disk: DataFrame, config: ProjectConfig, packages
 
     name = package_name(request)
     declared = name.isin(sorted(config.external_packages)) if config.external_packages else F.lit(False)
-    for at, names in sorted(packages.items()):
-        if at != config.root and names:
-            declared = declared | (F.col("file").startswith(at + "/") & name.isin(sorted(names)))
+    nested = [(at, n) for at, names in sorted(packages.items()) if at != config.root for n in sorted(names)]
+    rows = rows.withColumn("__name", name)
+    if nested and config.base_url:  # a package declared in a folder above the file
+        above = F.transform(F.sequence(F.lit(1), F.size(F.split("file", "/")) - 1), lambda k: F.array_join(F.slice(F.split("file", "/"), F.lit(1), k), "/"))
+        asked = rows.select("file", "__name").distinct().withColumn("__at", F.explode(above))
+        held = rows.sparkSession.createDataFrame(nested, "__at string, __name string")
+        rows = rows.join(asked.join(held, ["__at", "__name"], "left_semi").select("file", "__name", F.lit(True).alias("__nested")).distinct(), ["file", "__name"], "left")
+        declared = declared | F.coalesce("__nested", F.lit(False))
     outside = F.lit(True) if not config.base_url else name.isin(BUILTINS) | declared
     is_source = F.col("res_path").rlike(rf"[^/]\.(?:{'|'.join(EXTENSIONS)})$")
     kind = F.when(F.col("res_path").isNotNull(), F.when(is_source, "source").otherwise("asset")).when(F.col("__inner"), "missing").when(request.startswith("node:") | outside, "external").otherwise("missing")
-    return rows.withColumn("res_kind", kind).drop("__tried", "__inner")
+    return rows.withColumn("res_kind", kind).drop("__tried", "__inner", "__name", "__nested")
 
 
 def nested_packages(paths: list[str]) -> dict[str, set[str]]:
@@ -136,10 +132,10 @@ def analyze(parsed: DataFrame, disk: DataFrame, config: ProjectConfig, packages:
     path = F.substring("file", len(root) + 2, 1 << 30)
     listed = lambda names: F.col("file").isin(names) if names else F.lit(False)
     kind = classify.entry_kind(path, listed(config.explicit_entries), listed(config.package_entries))
-    modules = _written(parsed.withColumns({"relative_path": path, "entrypointKind": kind, "kept": ignored(path, rules(config.keep_patterns))}))
+    modules = written(parsed.withColumns({"relative_path": path, "entrypointKind": kind, "kept": ignored(path, rules(config.keep_patterns))}), "scan-modules")
 
     imports = modules.select("file", F.posexplode("imports").alias("pos", "i")).select("file", "pos", "i.source", "i.kind", "i.specifiers")
-    imports = _written(resolve(imports, disk, config, packages or {}))
+    imports = written(resolve(imports, disk, config, packages or {}), "scan-imports")
     sources = imports.where("res_kind = 'source'").select("file", "pos", "source", "kind", "specifiers", F.col("res_path").alias("target"))
     edges = ops.resolved(sources, modules, "target", "file")
     broken = imports.where("res_kind = 'missing'").select("file", "source", "kind")
@@ -168,7 +164,7 @@ def analyze(parsed: DataFrame, disk: DataFrame, config: ProjectConfig, packages:
     if config.suppressions:
         for name, fields in optional.items():
             findings[name] = ops.suppressed(before[name], known.where(F.col("rule") == name[:-1]), ["file"], fields)
-    findings = {k: _written(df) for k, df in findings.items()}
+    findings = {k: written(df, f"scan-{k}") for k, df in findings.items()}
 
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("one", F.lit(1))
     summary = plain.agg(F.count(F.lit(1)).alias("filesScanned"), F.count("entrypointKind").alias("entrypoints")).withColumn("one", F.lit(1))
@@ -192,7 +188,7 @@ def scan(spark: SparkSession, root: str, config: ProjectConfig | None = None) ->
     config = config or load_config(root)
     found, files = listing.source_files(config), listing.all_files(config.root)
     disk = spark.createDataFrame([(p,) for p in files], "path string")
-    parsed = _written(parse_sources(listing.read_sources(spark, found)))
+    parsed = written(parse_sources(listing.read_sources(spark, found)), "scan-parsed")
     return analyze(parsed, with_unlisted(disk, parsed, config), config, nested_packages(files))
 
 
