@@ -27,7 +27,9 @@ from .common import by_value
 
 SLOT = 64
 #: Counts of so many distinct pre-tokens are remembered by a task; beyond it the table starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
+#: Rows handled at once.
+ROWS = 512
 
 
 class Counter:
@@ -174,7 +176,7 @@ def _mapped(rows: DataFrame, new: list[T.StructField], each: Callable, made: Cal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = made()
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             out = each({c: batch.column(used.index(c)) for c in used}, counter)
             yield pa.RecordBatch.from_arrays([*(batch.column(used.index(c)) for c in left), *(pa.array(v, arrow.field(n).type) for n, v in zip(names, out, strict=True))], schema=arrow)
 
