@@ -52,7 +52,7 @@ COUNTER_BITS = 22
 PARTS = 32
 STAR_ROUNDS = 2
 #: Hashes by which entities meet before tiles are made, and the similarity, as a fraction, that makes one cluster.
-KEYS, NEAR_NUM, NEAR_DEN = 4, 1, 2
+KEYS, NEAR_NUM, NEAR_DEN = 3, 1, 2
 #: A key of more than one part in so many of all entities finds its centre by broadcast.
 HOT = 1024
 #: Bits of a bitmap for each shingle, at least.
@@ -231,8 +231,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _add_counts(table: pa.Table) -> pa.Table:
+    """The counters of a part, summed, on a scale of logarithms: thousandths of the power of 2."""
     total = sum(np.frombuffer(zstandard.decompress(c), np.int64) for c in table.column("counts").to_pylist())
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
+    scaled = (np.log2(total + 1.0) * 1000).astype("<u2")
+    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([zstandard.compress(scaled.tobytes(), 1)], pa.binary())})
 
 
 def _sets(held, schema: pa.Schema):
@@ -485,9 +487,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.encode(text_col, "utf-8").alias("text"), F.xxhash64(text_col).alias("of"))
 
     counts = rows.select("text").mapInArrow(_count, "part int, counts binary").groupBy("part").applyInArrow(_add_counts, "part int, counts binary")
-    parts = {r["part"]: np.frombuffer(zstandard.decompress(r["counts"]), np.int64) for r in counts.collect()}  # 4 M counters, whatever the input
-    table = np.concatenate([parts[k] for k in range(PARTS)]) if parts else np.zeros(1 << COUNTER_BITS, np.int64)
-    held = spark.sparkContext.broadcast(zstandard.compress((np.log2(table + 1.0) * 1000).astype(np.uint16).tobytes(), 1))
+    parts = {r["part"]: zstandard.decompress(r["counts"]) for r in counts.collect()}  # 4 M counters of 2 bytes, whatever the input
+    held = spark.sparkContext.broadcast(zstandard.compress(b"".join(parts[k] for k in range(PARTS)) if parts else bytes(2 << COUNTER_BITS), 1))
+    del parts
 
     sets_schema = f"id {docs.schema[id_col].dataType.simpleString()}, of long, n long, ent long, more long, keys array<long>, rank int, text binary"
     sets = written(rows.mapInArrow(_sets(held, arrow(sets_schema)), sets_schema), "join-sets")
