@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refgraph.operators.tables import shared_dir, work_dir, written  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The code points that part words: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: list[str] = []
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z only. Texts of ASCII alone take the fast path of lower()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -33,27 +30,6 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; where that is unset (one machine, tests) an own one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="refgraph-"))
-    return _own[0]
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: the rows as a Parquet table in the shared folder, read again."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
     """Cuts lineage: the rows as a table in buckets of keys, sorted by them, so that joins by keys don't shuffle it. The table's
     name leaves the catalogue at once; as it has a path, its files stay in the shared folder."""
