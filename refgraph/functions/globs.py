@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,13 +63,6 @@ class Rule:
             return None if self.negated else f"(?s)^(?:.*/)?(?:{g})/.*$"
         return f"(?s)^(?:.*/)?(?:{g})(?:/.*)?$"
 
-    def folder_regex(self) -> str:
-        """What a folder's path must match for the rule to decide about going into it."""
-        if self.deep:
-            g = glob_regex(self.pattern)
-            return f"(?s)^(?:{g})$" if self.negated else f"(?s)^(?:{g})(?:/.*)?$"
-        return f"(?s)^(?:.*/)?(?:{glob_regex(self.pattern, crossing=False)})(?:/.*)?$"
-
 
 def rules(lines: list[str], by_name: bool = False) -> list[Rule]:
     return [r for line in lines if (r := Rule.parse(line, by_name))]
@@ -89,8 +81,3 @@ def is_ignored(path: str, ordered: list[Rule]) -> bool:
         if x and re.match(x, path):
             return not r.negated
     return False
-
-
-def ancestors(path: str) -> list[str]:
-    parts = path.split("/")
-    return reduce(lambda out, p: [*out, f"{out[-1]}/{p}" if out else p], parts[:-1], [])

@@ -48,7 +48,9 @@ class _Module:
         self.skip: set[int] = set()  # tokens that are no references
         self.bindings: set[int] = set()
         self.shadows: dict[str, list[tuple[int, int]]] = {}
-        self.loaders: dict[str, tuple[str, list]] = {}
+        #: Loaders by the place of their binding, and the bindings by name.
+        self.loaders: dict[int, tuple[str, list]] = {}
+        self.named: dict[str, list[int]] = {}
         self.wrappers: set[str] = set()
         self.namespaces: set[str] = set()
         self.no_edge: set[int] = set()  # `import` tokens that make no edge of their own
@@ -578,44 +580,63 @@ class _Module:
         return self.import_call(k)
 
     def dynamic(self) -> None:
+        def keep(binding: int, found: tuple[str, list]) -> None:
+            self.loaders[binding] = found
+            self.named.setdefault(self.t[binding].text, []).append(binding)
+
+        spans: dict[int, tuple[int, int]] = {}
         for k in range(self.n):  # loaders by name come first: they may be used before
             if self.p(k, "=") and k - 1 in self.bindings and (self.word(k - 2, *_DECLARES) or self.p(k - 2, ",")):
                 if found := self.loader(k + 1):
-                    self.loaders[self.t[k - 1].text] = found[:2]
-                    self.no_edge.update(range(k + 1, found[2]))
+                    keep(k - 1, found[:2])
+                    spans[k - 1] = (k + 1, found[2])
                 elif self.word(k + 1) and self.ends(k + 2):
-                    if self.t[k + 1].text in self.loaders:
-                        self.loaders[self.t[k - 1].text] = self.loaders[self.t[k + 1].text]
+                    if (other := self.loader_of(k + 1)) is not None:
+                        keep(k - 1, self.loaders[other])
                         self.no_edge.add(k + 1)
+                        spans[k - 1] = spans[other]
                     elif self.t[k + 1].text in self.wrappers:
                         self.wrappers.add(self.t[k - 1].text)
                 elif self.word(k + 1) and self.t[k + 1].text in self.namespaces and self.p(k + 2, ".") and self.word(k + 3, "lazy", "default"):
                     self.wrappers.add(self.t[k - 1].text)
             elif self.word(k, "function") and self.word(k + 1) and self.p(k + 2, "(") and not self.p(k - 1, "(") and not self.p(k - 1, "=") and not self.p(k - 1, ","):
                 if found := self.loader(k):
-                    self.loaders[self.t[k + 1].text] = found[:2]
-                    self.no_edge.update(range(k, found[2]))
+                    keep(k + 1, found[:2])
+                    spans[k + 1] = (k, found[2])
+        uses = [k for k in range(self.n) if self.word(k) and k not in self.no_edge and k not in self.bindings and not self.member(k) and k not in self.skip and self.loader_of(k) is not None]
+        known = set(uses)
+        for span in spans.values():  # what a loader imports counts where it is used
+            self.no_edge.update(range(*span))
         for k in range(self.n):
             opened = self.wrapper_call(k)
             if opened is not None:
                 if found := self.loader(opened + 1):
                     self.imports.append((k, found[0], "dynamic", found[1]))
                     self.no_edge.update(range(opened + 1, found[2]))
-                elif self.word(opened + 1) and self.t[opened + 1].text in self.loaders and not self.shadowed_use(opened + 1):
-                    source, found = self.loaders[self.t[opened + 1].text]
+                elif self.word(opened + 1) and (binding := self.loader_of(opened + 1)) is not None:
+                    source, found = self.loaders[binding]
                     self.imports.append((k, source, "dynamic", found))
                     self.no_edge.add(opened + 1)
             elif self.word(k, "import") and self.p(k + 1, "(") and self.string(k + 2) and k not in self.no_edge:
                 self.imports.append((k, self.t[k + 2].text, "dynamic", []))
-            elif self.word(k) and self.t[k].text in self.loaders and k not in self.no_edge and k not in self.bindings and not self.member(k) and k not in self.skip and not self.shadowed_use(k):
+            elif k in known and k not in self.no_edge:
                 argument = self.outer[k] >= 0 and self.p(self.outer[k], "(") and (self.p(k - 1, "(") or self.p(k - 1, ",")) and (self.p(k + 1, ")") or self.p(k + 1, ","))
                 if self.p(k + 1, "(") or argument:
-                    self.imports.append((k, self.loaders[self.t[k].text][0], "dynamic", []))
+                    self.imports.append((k, self.loaders[self.loader_of(k)][0], "dynamic", []))
 
-    def shadowed_use(self, k: int) -> bool:
-        """Whether the loader named at k is another binding there: a scope inside the one that holds the loader binds it too."""
-        ranges = [r for r in self.shadows.get(self.t[k].text, ()) if r[0] <= k <= r[1]]
-        return any(not (self.p(a + 1, "=") and self.loader(a + 2)) and not self.word(a - 1, "function") for a, _ in ranges)
+    def loader_of(self, k: int) -> int | None:
+        """The binding of the loader that the name at k stands for: of the bindings of that name whose scope holds k, the innermost
+        one, if it is a loader."""
+        name = self.t[k].text
+        found = self.named.get(name)
+        if not found:
+            return None
+        inner = [(b - a, a) for a, b in self.shadows.get(name, ()) if a <= k <= b]
+        if inner:
+            binding = min(inner)[1]
+            return binding if binding in self.loaders else None
+        scoped = {a for a, _ in self.shadows.get(name, ())}
+        return next((a for a in reversed(found) if a not in scoped), None)
 
     # -- exports by assignment ------------------------------------------------------------------------------------
 

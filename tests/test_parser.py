@@ -82,3 +82,24 @@ def test_unused_imports():
 
 def test_text_is_no_code():
     assert imports("// import 'a'\n/* require('b') */ const s = \"import('c')\"; const t = `${import('d')}`; const r = /import('e')/;") == [("d", "dynamic", [])]
+
+
+def test_a_loader_in_a_block_below_another_binding_of_its_name():
+    """The innermost binding decides; no module that a loader imports is lost."""
+    found = imports(
+        """
+        import React from "react";
+        const pick = () => import("./outer");
+        function make() {
+          const pick = 1;
+          {
+            const pick = () => import("./inner");
+            return React.lazy(pick);
+          }
+        }
+        function other(pick) { return pick(); }
+        const alias = pick;
+        alias();
+        """
+    )
+    assert ("./inner", "dynamic", [("Default", "default", None)]) in found and "./outer" in {source for source, *_ in found}
