@@ -7,7 +7,9 @@ on labelled windows, on the driver: a bounded sample of SAMPLE rows per language
 that a hash picks. Predictions go through every byte of every text, segment by segment in batches of bounded size.
 
 Nulls: a null text, and one without a letter, is `und` with score 0. Rows without a label or text are never learned from.
-Without any labelled text every text is `und`. Rows that repeat are predicted alike. An empty table gives an empty result.
+Without any labelled text every text is `und`. Very long texts are read whole, in pieces. Ties: of equal averages the first
+language by name wins. Rows that repeat are predicted alike. An empty table gives an empty result. Other columns are kept,
+whatever their names, but for lang_pred and score, which are replaced. The driver holds one row per label.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ SAMPLE, WINDOW = 256, 2000
 STEPS, BATCH, RATE = 200, 256, 0.02
 ROWS = 4096
 UNKNOWN = "und"
-#: Below this score the pipeline takes a text for none of the languages.
-LEAST_SCORE = 0.35
+#: A text whose score lies above chance by less than this part of the way to 1 is taken for none of the languages.
+LEAST_EXCESS = 0.13
 
 
 class Network:
@@ -194,9 +196,17 @@ def identify(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame
     return rows.mapInArrow(run, schema)
 
 
-def recognised(docs: DataFrame, net: Network, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs in a language of the network, without those that it rejects: `und`, or a score below least."""
-    return identify(docs, net, text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*(f"`{c}`" for c in docs.columns))
+def least_score(languages: int, excess: float = LEAST_EXCESS) -> float:
+    """The score below which a text is rejected, by the number of languages: with one none is, as every score is 1."""
+    chance = 1 / max(1, languages)
+    return chance + excess * (1 - chance) if languages > 1 else 0.0
+
+
+def recognised(docs: DataFrame, net: Network, text_col: str = "text", excess: float = LEAST_EXCESS) -> DataFrame:
+    """The rows of docs in a language of the network, without those that it rejects: `und`, or a score below least_score()."""
+    good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score(len(net.languages), excess))
+    kept = identify(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{text_col}`").alias("text")), net).where(good)
+    return kept.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def held_out(id_col: str) -> Column:

@@ -14,8 +14,9 @@ group of those that were placed whole.
 Rows of heavy groups meet their shards by broadcast and are ordered in blocks by row, all others by group; so no task holds
 more than a small part of a shard.
 
-Nulls: a null text has no bytes and is equal to an empty one; a null id comes first in its group. Rows that repeat are rows of
-their own. With fewer rows than shards the last shards stay empty. An empty table gives an empty result.
+Nulls: a null text has no bytes and is equal to an empty one; a null id comes first in its group. Very long texts are only
+hashed and measured. Ties, of shards and of groups, go by hash. Rows that repeat are rows of their own. With fewer rows than
+shards the last shards stay empty. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -112,9 +113,9 @@ def propagate(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Rows (id_col, size, text_crc32, shard, slot, pulled), one per row of docs. pulled: the shard that propagation gave."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("crc"),
+        F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("crc"),
         F.xxhash64(text).alias("g1"), F.xxhash64(F.lit("second"), text).alias("g2"),
     )
     rows = rows.withColumn("u", F.xxhash64("id", "g1")).withColumn("shard", F.pmod(F.col("u"), F.lit(shards)).cast("int"))

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from refgraph.llm.language_id import UNKNOWN, Network, identify, learned, pooled, recognised, train
+from refgraph.llm.language_id import SEGMENT, UNKNOWN, Network, identify, learned, least_score, pooled, recognised, train
 from refgraph.llm.queries import op1_language_id
 
 
@@ -45,6 +45,40 @@ def test_odd_rows(odd, none):
     assert got.columns == [*odd.columns, "lang_pred", "score"]
     rows = got.collect()
     assert len(rows) == odd.count() and {r.lang_pred for r in rows if r.doc_id in (1, 2, 3)} == {UNKNOWN}
-    assert recognised(odd, net, least=0.0).columns == odd.columns
+    assert recognised(odd, net, excess=0.0).columns == odd.columns
     assert identify(none, net).count() == 0
     assert {r.lang_pred for r in identify(odd, learned(none)).collect()} == {UNKNOWN}
+
+
+def plain(net, text):
+    """The average of all positions, segment by segment."""
+    if not any(map(str.isalpha, text or "")):
+        return UNKNOWN, 0.0
+    raw, total = text.encode(), np.zeros(len(net.languages))
+    for a in range(0, len(raw), SEGMENT):
+        part = np.frombuffer(raw[a : a + SEGMENT].ljust(SEGMENT, b"\0"), np.uint8).reshape(-1, 1)
+        total += net.positions(np.ascontiguousarray(part))[: len(raw) - a, 0].sum(axis=0)
+    return net.languages[int(total.argmax())], float(total.max() / len(raw))
+
+
+def test_query_against_a_plain_version(spark, documents, texts):
+    net = learned(documents)
+    for r in op1_language_id(spark, "/root/testdata/sf0.001").collect():
+        lang, score = plain(net, texts[r.doc_id])
+        assert (r.lang_pred == lang or abs(score - 0.5) < 1e-3) and abs(r.score - score) < 1e-4
+
+
+def test_rejection(spark):
+    """Texts of the learned languages stay, at any number of languages; noise of many scripts goes from four."""
+    assert [round(least_score(n), 3) for n in (0, 1, 2, 4)] == [0.0, 0.0, 0.565, 0.348]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = learned(docs)
+    lettered = docs.where("text rlike '[A-Za-z]'")
+    assert recognised(lettered, net).count() >= 0.999 * lettered.count()
+
+
+def test_names_used_inside(spark, documents):
+    net = learned(documents)
+    rows = [(1, "some words here", "x", 0.5, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, score double, doc int")
+    assert [tuple(r) for r in recognised(df, net, excess=-1.0).collect()] == rows and identify(df, net).columns == ["doc_id", "text", "doc", "lang_pred", "score"]
