@@ -205,8 +205,8 @@ def least_score(languages: int, excess: float = LEAST_EXCESS) -> float:
 def recognised(docs: DataFrame, net: Network, text_col: str = "text", excess: float = LEAST_EXCESS) -> DataFrame:
     """The rows of docs in a language of the network, without those that it rejects: `und`, or a score below least_score()."""
     good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score(len(net.languages), excess))
-    kept = identify(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{text_col}`").alias("text")), net).where(good)
-    return kept.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
+    named = [f"c{k}" for k in range(len(docs.columns))]  # lang_pred and score may be columns of docs
+    return identify(docs.toDF(*named), net, named[docs.columns.index(text_col)]).where(good).select(*named).toDF(*docs.columns)
 
 
 def held_out(id_col: str) -> Column:
