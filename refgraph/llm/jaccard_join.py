@@ -53,7 +53,7 @@ PARTS = 32
 STAR_ROUNDS = 2
 #: Hashes by which entities meet before tiles are made, and the similarity, as a fraction, that makes one cluster.
 KEYS, NEAR_NUM, NEAR_DEN = 3, 1, 2
-#: A key of more than one part in so many of all entities finds its centre by broadcast.
+#: A key, or a group, of more than one part in so many of all entities, or members, finds its centre by broadcast.
 HOT = 1024
 #: Bits of a bitmap for each shingle, at least.
 BITS = 12
@@ -554,17 +554,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = tokens.groupBy("bucket").applyInArrow(_group(arrow(group_schema)), group_schema)
     inside = clusters.select(F.xxhash64("class").alias("grp"), F.col("node").alias("ent"))  # mixed ones stay below
     members = labelled(written(members.union(inside).distinct(), "join-groups"), classes, "ent", "class")
-    left = written(_several(members), "join-left")
+    left = _several(members, 0, "join-left")
     marks = signatures(left.select("ent").distinct(), "join")
 
     for k in range(star_rounds + 1):
         if k:
-            left = written(_several(labelled(left.drop("class"), classes, "ent", "class")), f"join-left{k}")
+            left = _several(labelled(left.select("grp", "ent"), classes, "ent", "class"), k, f"join-left{k}")
         if left.isEmpty():
             break
         if k < star_rounds:
-            named = left.groupBy("grp").agg(F.min_by(F.struct("ent", "class"), F.xxhash64("grp", "ent", F.lit(k)) if k else F.col("ent")).alias("m"))
-            pairs = left.join(named, "grp").where("ent <> m.ent and class <> m.class").select("ent", F.col("m.ent").alias("other"))
+            pairs = left.where("ent <> m.ent and class <> m.class").select("ent", F.col("m.ent").alias("other"))
             # a member of many groups is held against one other a round, so a round makes no more pairs than there are members
             pairs = pairs.groupBy("ent").agg(F.min_by("other", F.xxhash64("other", F.lit(k)) if k else F.col("other")).alias("other"))
             pairs = pairs.select(F.greatest("ent", "other").alias("a"), F.least("ent", "other").alias("b")).distinct()
@@ -581,10 +580,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "class", "of")
 
 
-def _several(members: DataFrame) -> DataFrame:
-    """The members (grp, ent, class) of groups with more than one class."""
-    mixed_up = members.groupBy("grp").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("grp")
-    return members.join(mixed_up, "grp", "left_semi").select("grp", "ent", "class")
+def _several(members: DataFrame, k: int, name: str) -> DataFrame:
+    """The members (grp, ent, class) of groups with more than one class, and m, the member (ent, class) that the group names in
+    round k. Rows of large groups find them by broadcast: there are fewer than HOT such groups."""
+    total = members.count()
+    pick = F.min_by(F.struct("ent", "class"), F.xxhash64("grp", "ent", F.lit(k)) if k else F.col("ent"))
+    found = members.groupBy("grp").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count(F.lit(1)).alias("size"), pick.alias("m"))
+    found = written(found.where("least <> most").select("grp", "m", "size"), f"{name}-groups")
+    return written(join_hot(members, found, ["grp"], F.col("size") * HOT > total).select("grp", "ent", "class", "m"), name)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -605,7 +608,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _blocks(left: DataFrame, marks: DataFrame, block: int, schema: pa.Schema, ddl: str) -> DataFrame:
     """The possible pairs of different classes in groups, by pairs of blocks of a group; a block meets itself once."""
     sizes = left.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = left.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int"))
+    dealt = join_hot(left.select("grp", "ent", "class"), sizes, ["grp"], F.col("blocks") * (block * HOT) > F.lit(left.count())).withColumn("own", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     dealt = dealt.select("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.cast("int").alias("side"), "ent", "class")
