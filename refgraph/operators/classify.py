@@ -22,6 +22,7 @@ FRAMEWORK_STEMS = ["middleware", "instrumentation"]
 PAGES_EXPORTS = ["default", "config", "getInitialProps", "getStaticProps", "getStaticPaths", "getServerSideProps"]
 IMAGE_STEMS, ICON_STEMS = ["opengraph-image", "twitter-image"], ["icon", "apple-icon"]
 METADATA_FILES = ["robots", "sitemap", "manifest"]
+# The exports that files of these names give to the framework.
 APP_EXPORTS = [
     (["default"], [s for s in APP_ROUTE_STEMS if s != "route"]),
     (["metadata", "generateMetadata", "viewport", "generateViewport"], ["page", "layout", "global-not-found"]),
@@ -33,11 +34,17 @@ APP_EXPORTS = [
     (["revalidate", "dynamic", "dynamicParams", "fetchCache", "runtime", "preferredRegion", "maxDuration"], ["page", "layout", "route", *METADATA_FILES, *ICON_STEMS, *IMAGE_STEMS]),
     (["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"], ["route"]),
 ]
+# Kinds of orphans, their reasons and confidence, and the reasons as they are displayed in Korean.
 ORPHANS = {
     "orphan-component": ("Component-like module has no inbound references.", 0.92),
     "orphan-route-module": ("Route-like module is not connected to any router entry.", 0.84),
     "orphan-module": ("Module has no inbound references and is not treated as an entrypoint.", 0.88),
 }
+KOREAN = {
+    "Component-like module has no inbound references.": "컴포넌트로 보이는 모듈에 참조가 없습니다.",
+    "Route-like module is not connected to any router entry.": "라우트로 보이는 모듈이 어떤 라우터 진입점에도 연결되지 않았습니다.",
+    "Module has no inbound references and is not treated as an entrypoint.": "모듈에 참조가 없고 진입점으로 취급되지 않습니다.",
+}
 KEEPS_EXPORTS = ["user-entry", "package-entry", "app-entry", "tooling-entry", "framework-entry"]
 
 
@@ -82,6 +89,11 @@ def orphan_reason(kind: Column) -> Column:
     return cascade([(kind == k, reason) for k, (reason, _) in ORPHANS.items()])
 
 
+def displayed_reason(reason: Column, texts: dict[str, str] = KOREAN) -> Column:
+    """A reason in another language; reasons that are not known stay as they are."""
+    return F.coalesce(cascade([(reason == known, text) for known, text in texts.items()]), reason)
+
+
 def orphan_confidence(kind: Column) -> Column:
     out = F.lit(None).cast("float")
     for k, (_, sure) in ORPHANS.items():

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from refgraph.functions.paths import normalize
-from refgraph.sources.report import relative
+from refgraph.sources.report import VERSION, ReportError, parse, relative, version
 
 MOST_LINES, MOST_BYTES = 20, 16 * 1024
 BINARY, MISSING, UNREADABLE = "[binary file]", "[missing file]", "[preview unavailable]"
@@ -20,6 +21,15 @@ class Plan:
     skipped: list[dict] = field(default_factory=list)
 
 
+def load(path: str) -> dict:
+    """The report at path. Unlike the command line, the library plans from no report before version 2."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if (found := version(json.loads(text))) < VERSION:
+        raise ReportError(f"a report of version {VERSION} is needed, this one has version {found}")
+    return parse(text)
+
+
 def plan(report: dict, least: float = 0.0) -> Plan:
     """Candidates whose confidence reaches least, compared as 32-bit floats, and the others."""
     out = Plan()

@@ -37,6 +37,10 @@ class Cases:
         return "(values " + ", ".join("(" + ", ".join(map(value, r)) + ")" for r in found) + f") as c(i, {columns})"
 
 
+def _filled(*columns: str) -> str:
+    return ", ".join(f"replace({c}, '#', p_partkey::varchar) as {c}" for c in columns)
+
+
 ENTRIES = Cases([
     ("src/app/x#/page.tsx", "next-app-route"), ("app/api#/route.ts", "next-app-route"), ("packages/p#/app/layout.tsx", "next-app-route"), ("lib#/app/page.tsx", None), ("app/x#/page.test.tsx", "tooling-entry"),
     ("app/x#/opengraph-image.tsx", "next-app-route"), ("app/x#/helper.ts", None), ("pages/p#.tsx", "next-pages-route"), ("src/pages/a#.test.ts", "next-pages-route"), ("apps/a#/pages/i.tsx", "next-pages-route"),
@@ -71,6 +75,17 @@ def orphan_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", "kind", classify.orphan_reason(F.col("kind")).alias("reason"), classify.orphan_confidence(F.col("kind")).alias("confidence"))
 
 
+REASONS = Cases([
+    ("Component-like module has no inbound references.", "컴포넌트로 보이는 모듈에 참조가 없습니다."), ("Route-like module is not connected to any router entry.", "라우트로 보이는 모듈이 어떤 라우터 진입점에도 연결되지 않았습니다."),
+    ("Module has no inbound references and is not treated as an entrypoint.", "모듈에 참조가 없고 진입점으로 취급되지 않습니다."), ("another reason #", "another reason #"),
+])
+
+
+@query(f"""select p_partkey, {_filled("displayed")} from part join {REASONS.sql("reason, displayed")} on i = p_partkey % {len(REASONS.rows)}""")
+def displayed_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", classify.displayed_reason(REASONS.pick(F.col("p_partkey"))).alias("displayed"))
+
+
 CONSUMED = Cases([
     ("next-app-route", "app/a#/page.tsx", "default", True), ("next-app-route", "app/a#/page.tsx", "metadata", True), ("next-app-route", "app/a#/page.tsx", "helper", False), ("next-app-route", "app/a#/route.ts", "GET", True),
     ("next-app-route", "app/a#/route.ts", "default", False), ("next-app-route", "app/a#/page.tsx", "GET", False), ("next-app-route", "app/icon.tsx", "size", True), ("next-app-route", "app/icon.tsx", "alt", False),
@@ -119,10 +134,6 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.parse_sources(table(spark, sf_dir, "part").select(F.format_string("/p/m%d.ts", key).alias("file"), TEXTS.pick(key).alias("content")))
 
 
-def _filled(*columns: str) -> str:
-    return ", ".join(f"replace({c}, '#', p_partkey::varchar) as {c}" for c in columns)
-
-
 @query(f"""
 select '/p/m' || p_partkey || '.ts' as file, {_filled("source", "kind", "specifier", "imported", "local")}
 from part join {_cases(1).sql("source, kind, specifier, imported, local", each=True)} on i = p_partkey % {len(MODULES)}""")
