@@ -94,7 +94,7 @@ def resolve(imports: DataFrame, disk: DataFrame, config: ProjectConfig, packages
     """Adds res_kind (source, asset, external, missing) and res_path to rows (file, source, ...). disk: (path) of every file.
     packages: declared dependencies by folder."""
     request = F.col("source")
-    rows = _candidates(imports, config)
+    rows = written(_candidates(imports, config), "scan-candidates")  # long expressions that three joins refer to
     rows = ops.first_match(rows, F.col("__tried"), disk, "path", "res_path")
 
     name = package_name(request)
