@@ -303,10 +303,10 @@ def documents(reports: DataFrame, findings: DataFrame, modules: DataFrame) -> Da
 
     One shuffle by root for each of the three relations. A document holds all of its root's findings, so it must be below 2 GB;
     where a root may have more, write the findings themselves, which write_findings does without gathering them."""
-    found = findings.groupBy("root").agg(*(_array(s).alias(f"__{s}") for s in SECTIONS))
+    found = findings.groupBy("root").agg(*(_array(s).alias(f"__{s}") for s in SECTIONS), *(F.count_if(F.col("section") == s).alias(s) for s in SECTIONS))
     fields = ["file", "relativePath", "entrypointKind", "importedByCount", "importCount", "exportCount"]
     graph = modules.groupBy("root").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.struct(*fields).alias("i")))), lambda x: x["i"]), {"ignoreNullFields": "false"}).alias("__modules"))
-    rows = counted(reports, findings).join(found, "root", "left").join(graph, "root", "left")
+    rows = reports.join(found, "root", "left").join(graph, "root", "left").withColumns({s: F.coalesce(s, F.lit(0).cast("long")) for s in SECTIONS})
     json = lambda *cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
     hidden = F.col("suppressedFindings") > 0
     summary = F.when(hidden, json(*COUNTS, "suppressedFindings")).otherwise(json(*COUNTS))

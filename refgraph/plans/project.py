@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refgraph.functions.globs import ignored, rules
@@ -65,6 +65,14 @@ def parse_sources(sources: DataFrame) -> DataFrame:
     return sources.select("file", "content").mapInPandas(parse, PARSED)
 
 
+def tried_paths(base: Column) -> Column:
+    """The files that a path without `.` and `..` can mean, in order: itself, with an extension if it has none, an index below it."""
+    bare = ~classify.file_name(base).rlike(r"[^/]\.[^/]*$")
+    none = F.array().cast("array<string>")
+    tried = F.concat(F.array(base), F.when(bare, F.array(*(F.concat(base, F.lit(f".{e}")) for e in EXTENSIONS))).otherwise(none), F.array(*(F.concat(base, F.lit(f"/index.{e}")) for e in EXTENSIONS)))
+    return F.when(base.isNull(), none).otherwise(tried)
+
+
 def _candidates(imports: DataFrame, config: ProjectConfig) -> DataFrame:
     """Adds __inner (names a file of the project) and __tried (the paths that a request can mean, in order) to rows (file, source, ...)."""
     request = F.col("source")
@@ -75,12 +83,7 @@ def _candidates(imports: DataFrame, config: ProjectConfig) -> DataFrame:
     based = F.concat(F.lit(config.base_url), F.lit("/"), request) if config.base_url else F.lit(None).cast("string")
     rows = imports.withColumn("__base", F.when(request.startswith("node:"), None).otherwise(normalize_path(F.coalesce(inner, based))))
     rows = rows.withColumn("__inner", inner.isNotNull() & ~request.startswith("node:"))
-
-    base = F.col("__base")
-    bare = ~classify.file_name(base).rlike(r"[^/]\.[^/]*$")
-    none = F.array().cast("array<string>")
-    tried = F.concat(F.array(base), F.when(bare, F.array(*(F.concat(base, F.lit(f".{e}")) for e in EXTENSIONS))).otherwise(none), F.array(*(F.concat(base, F.lit(f"/index.{e}")) for e in EXTENSIONS)))
-    return rows.withColumn("__tried", F.when(base.isNull(), none).otherwise(tried)).drop("__base")
+    return rows.withColumn("__tried", tried_paths(F.col("__base"))).drop("__base")
 
 
 def with_unlisted(disk: DataFrame, parsed: DataFrame, config: ProjectConfig) -> DataFrame:
