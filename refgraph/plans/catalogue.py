@@ -70,17 +70,12 @@ def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with used as (select distinct c_nationkey, c_mktsegment, o_orderpriority from orders join customer on c_custkey = o_custkey where o_totalprice > 300000),
-whole as (select distinct c_nationkey from orders join customer on c_custkey = o_custkey where o_totalprice > 430000)
-select distinct c_nationkey, c_mktsegment, o_orderpriority from orders join customer on c_custkey = o_custkey
-except select * from used
-except select c_nationkey, c_mktsegment, o_orderpriority from orders join customer on c_custkey = o_custkey where c_nationkey in (select c_nationkey from whole)""")
+select distinct o_custkey, o_orderpriority from orders
+where (o_custkey, o_orderpriority) not in (select (o_custkey, o_orderpriority) from orders where o_orderkey % 3 = 0) and o_custkey not in (select o_custkey from orders where o_orderkey % 16 = 5)""")
 def dead_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members (segment, priority) of nations: used by dear orders, and all of a nation's by very dear ones."""
-    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment")
-    orders = table(spark, sf_dir, "orders").join(customer, "o_custkey")
-    keys = ["c_nationkey", "c_mktsegment", "o_orderpriority"]
-    return ops.dead_members(orders.select(*keys).distinct(), orders.where("o_totalprice > 300000").select(*keys).distinct(), keys, orders.where("o_totalprice > 430000").select(*keys).distinct())
+    """Members (priorities) of customers: every third order uses one, every 16th all of a customer's."""
+    orders, keys = table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"]
+    return ops.dead_members(orders.select(*keys).distinct(), orders.where("o_orderkey % 3 = 0").select(*keys).distinct(), keys, orders.where("o_orderkey % 16 = 5").select("o_custkey").distinct())
 
 
 @query("""

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from refgraph.plans import generated, reports, roots, rules  # noqa: F401  (add to the catalogue)
+from refgraph.plans import generated, reports, roots, rules, scripts  # noqa: F401  (add to the catalogue)
 from refgraph.plans.catalogue import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
