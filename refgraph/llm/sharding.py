@@ -3,10 +3,12 @@
 Documents are linked when their texts are equal; a group is kept as the tally of its members over shards, so that no pair is
 ever made. Documents start in shards dealt by hash. The groups above one part in HEAVY of a shard, at most HEAVY for each
 shard, are placed by the driver, largest first: whole in the fullest shard that holds them, else over the emptiest ones, as few
-as possible. In each round every other group that is not settled picks the shard with room where most of its members are, in
-the next rounds its next part, ties by hash; where none of its parts has room, a shard by hash in proportion to the room left.
-A shard takes in only what its quota leaves: where more would come than there is room, a share of the groups by hash. What the
-last round refuses goes, whole, by the room left. Members move together. Documents without neighbours then fill the room that
+as possible. Of all other groups the members of one shard are a part. In each round the parts are joined with the labels that
+their neighbours have now, counted anew: a part asks for the shard where most members of its group are, among those
+that heavy groups leave room in, ties by hash. How many
+may move is settled for each pair of shards: as many as ask for the way back, and as many more as the shard has room, a share
+of the parts by hash. Parts that meet become one. Rounds end when the edges between shards are no longer fewer, or after ROUNDS.
+Groups that are still in several parts then go whole to a shard by the room left. Members move together. Documents without neighbours then fill the room that
 is left. At the end the rows stand in order of shard and group, in each shard between two halves of the documents without
 neighbours, and that line is cut into even parts; it moves only what stands over the quotas, and each border cuts at most one
 group of those that were placed whole.
@@ -21,12 +23,13 @@ shards the last shards stay empty. An empty table gives an empty result. Other c
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-SHARDS, ROUNDS = 24, 3
+SHARDS, ROUNDS = 24, 6
 #: A group above one part in so many of a shard is placed by the driver.
 HEAVY = 64
 #: Blocks of the final order: parts of a shard by group, and parts by row of a heavy group in a shard.
@@ -68,6 +71,16 @@ def place_heavy(groups: list[tuple[int, dict[int, int]]], left: list[float]) ->
     return out
 
 
+def accepted(wish: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Of the members that ask to go from shard to shard, the share that may: what is asked for the way back, and what there is room
+    for. No shard takes in more than it gives up and has room for."""
+    go = np.minimum(wish, wish.T)
+    rest = wish - go
+    coming = rest.sum(axis=0)
+    go = go + rest * np.minimum(1, room / np.maximum(coming, 1e-9))
+    return np.divide(go, wish, out=np.zeros_like(go), where=wish > 0)
+
+
 def propagate(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
     """rows: (id, g1, g2, u, shard, ...). Gives rows with their new shard, heavy (the number of a heavy group, or null) and alone (in no group)."""
     spark = rows.sparkSession
@@ -83,22 +96,32 @@ def propagate(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
     ends = lambda pieces, size: [sum(n for _, n in pieces[: k + 1]) / size for k in range(len(pieces))]
     placed = spark.createDataFrame([(r["g1"], r["g2"], k, [s for s, _ in t], ends(t, r["size"])) for k, (r, t) in enumerate(zip(heavy, taken, strict=True))], PLACED)
 
-    light = groups.where(~big).select("g1", "g2", "size", F.col("parts.shard").alias("parts"), F.lit(None).cast("int").alias("to"))
-    start = left = [max(0.0, r) for r in left]
+    few = groups.where(~big).select("g1", "g2", "size")
+    parts = written(tally.join(few, ["g1", "g2"]), "shard-parts")  # n members of a group of `size` have the label `shard`
+    takes = F.get(F.array(*(F.lit(r >= 1) for r in left)), F.col("shard"))  # shards that heavy groups fill take nothing in
+    least = None
     for k in range(rounds):
-        has_room = F.array(*(F.lit(r > 0) for r in left))
-        fit = F.filter("parts", lambda s: F.get(has_room, s))  # noqa: B023
-        pick = F.when(F.size(fit) > 0, F.get(fit, F.lit(k) % F.size(fit))).otherwise(_by_room(left, _lot(f"to {k}", "g1", "g2")))
-        asked = light.where("to is null").withColumn("pick", pick.cast("int"))
-        coming = {r["pick"]: r["n"] for r in asked.groupBy("pick").agg(F.sum("size").alias("n")).collect()}  # one row per shard
-        if not coming:
+        order = F.struct(takes.alias("takes"), "n", F.xxhash64("g1", "g2", "shard").alias("tie"))
+        most = parts.groupBy("g1", "g2").agg(F.max_by("shard", order).alias("to"))
+        asked = parts.join(most, ["g1", "g2"])
+        flows = asked.groupBy("shard", "to").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("size") - F.col("n"))).alias("cut")).collect()  # a row for each pair of shards
+        cut = sum(r["cut"] for r in flows) // 2
+        if not cut or (least is not None and cut >= least):
             break
-        share = F.array(*(F.lit(min(1.0, r / coming[s]) if coming.get(s) else 0.0) for s, r in enumerate(left)))
-        goes = F.col("to").isNull() & (_lot(f"go {k}", "g1", "g2") < F.get(share, F.col("pick")))
-        light = written(light.withColumn("pick", pick.cast("int")).withColumn("to", F.when(goes, F.col("pick")).otherwise(F.col("to"))).drop("pick"), f"shard-round{k}")
-        full = {r["to"]: r["n"] for r in light.groupBy("to").agg(F.sum("size").alias("n")).collect()}  # one row per shard
-        left = [max(0.0, r - full.get(s, 0)) for s, r in enumerate(start)]
-    light = written(light.select("g1", "g2", "size", F.coalesce("to", _by_room(left, _lot("rest", "g1", "g2"))).cast("int").alias("to")), "shard-settled")
+        least, wish, held = cut, np.zeros((shards, shards)), np.zeros(shards)
+        for r in flows:
+            held[r["shard"]] += r["n"]
+            wish[r["shard"], r["to"]] += r["n"] * (r["shard"] != r["to"])
+        share = F.array(*(F.array(*map(F.lit, x)) for x in accepted(wish, np.maximum(0, np.array(left) - held)).tolist()))
+        goes = _lot(f"go {k}", "g1", "g2", "shard") < F.get(F.get(share, F.col("shard")), F.col("to"))
+        moved = asked.withColumn("shard", F.when(goes, F.col("to")).otherwise(F.col("shard")))
+        parts = written(moved.groupBy("g1", "g2", "shard").agg(F.sum("n").alias("n"), F.first("size").alias("size")), f"shard-round{k}")
+    stays = (F.col("n") == F.col("size")) & takes
+    whole = parts.where(stays).select("g1", "g2", "size", F.col("shard").alias("to"))
+    full = {r["to"]: r["n"] for r in whole.groupBy("to").agg(F.sum("size").alias("n")).collect()}  # one row per shard
+    start, left = left, [max(0.0, r - full.get(s, 0)) for s, r in enumerate(left)]
+    split = parts.where(~stays).select("g1", "g2", "size").distinct().withColumn("to", _by_room(left, _lot("rest", "g1", "g2")).cast("int"))
+    light = written(whole.unionByName(split), "shard-settled")
     full = {r["to"]: r["n"] for r in light.groupBy("to").agg(F.sum("size").alias("n")).collect()}  # one row per shard
     left = [max(0.0, r - full.get(s, 0)) for s, r in enumerate(start)]
 

@@ -1,7 +1,11 @@
 import zlib
 from collections import Counter, defaultdict
 
-from refgraph.llm.sharding import shard
+import numpy as np
+from pyspark.sql import functions as F
+
+from refgraph.llm import sharding
+from refgraph.llm.sharding import accepted, shard
 
 
 def check(df, shards):
@@ -72,3 +76,49 @@ def test_middling_groups_stay_whole(spark):
     _, n = parted(spark, rows, 24)
     print("parted groups", n, "of 60")
     assert n <= 24
+
+
+def test_accepted():
+    wish = np.array([[0, 10, 4], [6, 0, 0], [0, 5, 0]], float)
+    share = accepted(wish, np.array([0.0, 3.0, 2.0]))
+    assert np.allclose(wish * share, [[0, 6 + 4 * 3 / 9, 2], [6, 0, 0], [0, 5 * 3 / 9, 0]])
+    moved = wish * share
+    assert (moved.sum(axis=0) <= moved.sum(axis=1) + [0, 3, 2] + 1e-9).all()
+    assert (accepted(np.zeros((2, 2)), np.ones(2)) == 0).all()
+
+
+def cut_edges(parts):
+    return sum(r.n * (r["size"] - r.n) for r in parts.collect()) // 2
+
+
+def test_rounds_follow_the_neighbours(spark, monkeypatch):
+    """Each round has fewer edges between shards than the one before, sizes stay near the quota, and in the end most groups are in
+    one part: before the last step nearly all of them."""
+    seen = []
+
+    def watched(df, name):
+        out = written(df, name)
+        if name.startswith(("shard-parts", "shard-round")):
+            seen.append(out)
+        return out
+
+    written = sharding.written
+    monkeypatch.setattr(sharding, "written", watched)
+    rows = [(k, f"text {k // 4}") for k in range(8000)] + [(50_000 + k, f"alone {k}") for k in range(400)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), 8)
+    cuts = [cut_edges(p) for p in seen]
+    assert len(cuts) > 3 and all(b < a for a, b in zip(cuts[:-1], cuts[1:-1], strict=False)) and cuts[-1] < 0.05 * cuts[0]
+    assert seen[-1].where("n = size").count() > 1900
+    for p in seen:
+        held = [r.n for r in p.groupBy("shard").agg(F.sum("n").alias("n")).collect()]
+        assert max(held) < 1.15 * 8400 / 8
+
+
+def test_without_neighbours_nothing_moves(spark, monkeypatch):
+    """What comes out depends on the rounds: where none is accepted, groups are placed by room alone."""
+    rows = [(k, f"pair {k // 2}") for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {r.doc_id: r.pulled for r in shard(df).collect()}
+    monkeypatch.setattr(sharding, "accepted", lambda wish, room: np.zeros_like(wish))
+    second = {r.doc_id: r.pulled for r in shard(df).collect()}
+    assert sum(first[k] != second[k] for k in first) > 2000
