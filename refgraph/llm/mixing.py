@@ -11,8 +11,8 @@ shard has an exact number of draws and each source its exact quota. The shards d
 blocks; what a document gives to the mix are the draws of its block, and nothing else. Inside a shard, copies are ordered by
 another hash (of seed, id and pass).
 
-Only per-source counts reach the driver (8 bytes a source and shard), where the tree is drawn; sources are ordered in one task,
-one row each. Nothing else is windowed over a whole source: sums run over the blocks of a source and over the rows of a block,
+Nothing is drawn on the driver: a node of the tree puts its draws (a row for each block and pass, not for each document) in the
+order of a hash, in one task a node; sources are ordered in one task, one row each. Nothing else is windowed over a whole source: sums run over the blocks of a source and over the rows of a block,
 and blocks grow in number with the rows (BLOCK_ROWS).
 
 Nulls: a null text has no words; a null source is a source of its own, the last; a null id is hashed as an empty one. Texts
@@ -23,10 +23,8 @@ An empty table gives an empty result. Other columns are ignored by mix() and kep
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import SPACE, words, written
 
@@ -62,24 +60,26 @@ def targets(sizes: DataFrame) -> DataFrame:
     return leveled.withColumn("target", F.least(F.lit(float(MOST)) * F.col("source_size"), F.coalesce(open_, F.lit(0.0)) * F.col("weight")).cast("double")).drop("level")
 
 
-def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
-    """Bounds (sources x shards): shard j draws the blocks from the bound before to its own one, of each source."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((len(quotas), shards), dtype=np.int64)
-
-    def divide(counts: np.ndarray, first: int, last: int) -> None:
-        if last - first == 1:
-            out[:, first] = counts
-            return
-        middle = (first + last) // 2
-        draw = int(counts.sum()) * (middle - first) // (last - first)
-        left = rng.multivariate_hypergeometric(counts, draw, method="marginals") if draw else np.zeros_like(counts)
-        divide(left, first, middle)
-        divide(counts - left, middle, last)
-
-    if quotas:
-        divide(np.asarray(quotas, dtype=np.int64), 0, shards)
-    return out.cumsum(axis=1)
+def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(place, shard, first, end) from (place, quota): of the draws 0 .. quota - 1 of each place a shard gets those from first on,
+    before end; shards without draws of a place have no row.
+
+    A tree over the shards: a node gives its left half the share of its draws that its shards are of the node's, taken without
+    replacement, as the ones that a hash of the node puts first. So what a half has of each place is a multivariate-hypergeometric
+    sample of what the node has."""
+    items = quotas.where("quota > 0").select("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("item"), F.lit(0).alias("low"), F.lit(shards).alias("high"))
+    wide = shards
+    while wide > 1:
+        middle, node = F.floor((F.col("low") + F.col("high")) / 2).cast("int"), Window.partitionBy("low", "high")
+        lot = F.md5(F.concat_ws(":", F.lit(seed), "low", "high", "place", "item"))
+        half = F.floor(F.count(F.lit(1)).over(node) * (middle - F.col("low")) / (F.col("high") - F.col("low")))
+        items = items.withColumns({"middle": middle, "left": F.row_number().over(node.orderBy(lot, "place", "item")) <= half})
+        one = F.col("high") - F.col("low") == 1
+        items = items.select("place", "item", F.when(one | F.col("left"), F.col("low")).otherwise(F.col("middle")).alias("low"), F.when(one | ~F.col("left"), F.col("high")).otherwise(F.col("middle")).alias("high"))
+        wide = (wide + 1) // 2
+    counts = items.groupBy("place", F.col("low").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    end = F.sum("n").over(Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.select("place", "shard", (end - F.col("n")).alias("first"), end.alias("end"))
 
 
 def _same(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
@@ -106,7 +106,6 @@ def _order(id_col: Column, draw: Column, seed: int) -> Column:
 def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, shards: int, seed: int, least_bits: int) -> tuple[DataFrame, DataFrame, int]:
     """Rows (id, source, of, size, key, block) of docs; blocks (source, block, before, words, source_size, target, passes, rest,
     draws) with draws (pass, shard) of each block; and the bits of a block number."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.xxhash64(f"`{text_col}`").alias("of"), n_words(F.col(f"`{text_col}`")).alias("size"))
     rows = written(rows.withColumn("key", _key(F.col("id"), seed)), "mix-rows")
     bits = min(31, max(least_bits, (rows.count() // BLOCK_ROWS).bit_length()))
@@ -121,15 +120,10 @@ def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, shards:
     sources = written(sources.withColumn("passes", passes).withColumn("rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")), "mix-sources")
 
     known = _same(blocks, sources, "source")
-    drawn = known.groupBy("place").agg(F.max(F.col("passes") * F.col("n_blocks")).alias("whole"), F.sum((F.col("before") < F.col("rest")).cast("long")).alias("part"))
-    quotas = drawn.orderBy("place").collect()  # one row per source
-    bounds = split_quotas([r["whole"] + r["part"] for r in quotas], shards, seed)
-    runs = [(r["place"], [0, *b.tolist()]) for r, b in zip(quotas, bounds, strict=True)]
-    plan = spark.createDataFrame(runs, T.StructType([T.StructField("place", T.IntegerType()), T.StructField("bounds", T.ArrayType(T.LongType()))]))
-
+    drawn = known.groupBy("place").agg((F.max(F.col("passes") * F.col("n_blocks")) + F.sum((F.col("before") < F.col("rest")).cast("long"))).alias("quota"))
+    runs = split_quotas(drawn, shards, seed)
     # a shard's run of draws, of which there are block count times passes
-    ends = plan.select("place", F.posexplode(F.slice("bounds", 2, shards)).alias("shard", "end"), "bounds").withColumn("first", F.element_at("bounds", F.col("shard") + 1))
-    draws = ends.where("first < end").select("place", "shard", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("draw"))
+    draws = runs.select("place", "shard", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("draw"))
     draws = draws.join(sources.select("place", "n_blocks"), "place").groupBy("place", (F.col("draw") % F.col("n_blocks")).alias("block_rank"))
     draws = draws.agg(F.sort_array(F.collect_list(F.struct(F.floor(F.col("draw") / F.col("n_blocks")).alias("pass"), "shard"))).alias("draws"))
     known = known.join(draws, ["place", "block_rank"], "left").withColumn("draws", F.coalesce("draws", F.array().cast("array<struct<pass:bigint,shard:int>>")))

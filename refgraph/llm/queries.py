@@ -40,7 +40,9 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_draws"))
+    """shard_words: what each of a document's draws gives, shard:words, in the order of passes and shards."""
+    drawn = F.array_join(F.transform("copies", lambda c: F.concat(c["shard"].cast("string"), F.lit(":"), c["words"].cast("string"))), ",")
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_draws"), drawn.alias("shard_words"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,14 +159,38 @@ targeted as (
          least(3.0 * source_size, coalesce(max(level) over (), 0.0) * weight)::double as target
   from leveled),
 passes as (
-  select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as whole from targeted),
+  select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as whole, row_number() over (order by source nulls last) as place from targeted),
 quotas as (select *, round(target - whole * source_size)::bigint as rest from passes),
+bits as (select greatest(10, case when count(*) // 16384 > 0 then floor(log2(count(*) // 16384)) + 1 else 0 end)::int as bits from rows),
 placed_rows as (
-  select r.*, q.source_size, q.target, q.whole, q.rest, sum(r.size) over (partition by r.source order by r.key, r.doc_id, r.size rows unbounded preceding) - r.size as before
-  from rows r join quotas q on r.source is not distinct from q.source)
-select doc_id, size, source_size, target, (whole * size + least(size, greatest(0, rest - before)))::bigint as taken,
-       (case when size > 0 then whole else 0 end + case when least(size, greatest(0, rest - before)) > 0 then 1 else 0 end)::bigint as n_draws
-from placed_rows""",
+  select r.*, q.place, q.source_size, q.target, q.whole, q.rest, sum(r.size) over (partition by r.source order by r.key, r.doc_id, r.size rows unbounded preceding) - r.size as before,
+    ('0x' || left(r.key, 8))::bigint >> (32 - bits) as block
+  from rows r join quotas q on r.source is not distinct from q.source, bits),
+blocks as (
+  select place, block, min(before) as before, any_value(whole) as whole, any_value(rest) as rest, row_number() over (partition by place order by block) - 1 as block_rank, count(*) over (partition by place) as n_blocks
+  from placed_rows group by place, block),
+halves0 as (
+  select place, unnest(range((max(whole * n_blocks) + count(*) filter (where before < rest))::bigint)) as item, 0 as low, 16 as high from blocks group by place),
+halves1 as (
+  select place, item, case when left_ then low else (low + high) // 2 end as low, case when left_ then (low + high) // 2 else high end as high from (
+    select *, row_number() over (partition by low, high order by md5('0:' || low || ':' || high || ':' || place || ':' || item), place, item) <= count(*) over (partition by low, high) // 2 as left_ from halves0)),
+halves2 as (
+  select place, item, case when left_ then low else (low + high) // 2 end as low, case when left_ then (low + high) // 2 else high end as high from (
+    select *, row_number() over (partition by low, high order by md5('0:' || low || ':' || high || ':' || place || ':' || item), place, item) <= count(*) over (partition by low, high) // 2 as left_ from halves1)),
+halves3 as (
+  select place, item, case when left_ then low else (low + high) // 2 end as low, case when left_ then (low + high) // 2 else high end as high from (
+    select *, row_number() over (partition by low, high order by md5('0:' || low || ':' || high || ':' || place || ':' || item), place, item) <= count(*) over (partition by low, high) // 2 as left_ from halves2)),
+halves4 as (
+  select place, item, case when left_ then low else (low + high) // 2 end as low, case when left_ then (low + high) // 2 else high end as high from (
+    select *, row_number() over (partition by low, high order by md5('0:' || low || ':' || high || ':' || place || ':' || item), place, item) <= count(*) over (partition by low, high) // 2 as left_ from halves3)),
+runs as (select place, low as shard, sum(count(*)) over (partition by place order by low) - count(*) as first, count(*) as n from halves4 group by place, low),
+draws as (select place, shard, unnest(range(first::bigint, (first + n)::bigint)) as draw from runs),
+copies as (
+  select p.*, d.draw // b.n_blocks as pass, shard, case when d.draw // b.n_blocks < p.whole then size else least(size, greatest(0, p.rest - p.before)) end as words
+  from placed_rows p join blocks b using (place, block) join draws d on d.place = p.place and d.draw % b.n_blocks = b.block_rank)
+select p.doc_id, p.size, p.source_size, p.target, coalesce(sum(words), 0)::bigint as taken, count(*) filter (where words <> 0) as n_draws,
+       coalesce(string_agg(c.shard || ':' || words, ',' order by pass, c.shard) filter (where words <> 0), '') as shard_words
+from placed_rows p left join copies c using (doc_id) group by p.doc_id, p.size, p.source_size, p.target""",
     "op7_line_dedup": rf"""
 with split as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
 keyed as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from split),

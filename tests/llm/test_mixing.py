@@ -1,15 +1,14 @@
+import hashlib
 import math
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
-
 from pyspark.sql import functions as F
 
 from refgraph.llm import mixing
 from refgraph.llm.mixing import mix, mixed_documents, split_quotas
+from refgraph.llm.queries import op3_mixing
 
 
 def brute_targets(sizes):
@@ -82,12 +81,18 @@ def test_many_blocks_by_shuffle(odd):
     assert Counter(one.collect()) == Counter(two.collect())
 
 
-def test_the_tree_decides(documents, monkeypatch):
-    """Shards hold equal numbers of draws, disjoint ones, and without them nothing is taken."""
+def test_the_tree_decides(spark, documents, monkeypatch):
+    """Shards hold equal numbers of draws, disjoint ones; with another tree the mix and the query are others, without one nothing is
+    taken."""
     df = documents.select("doc_id", "text", "source")
     drawn = Counter((c.shard, r.source, r.doc_id, n) for r in mix(df).collect() for n, c in enumerate(r.copies))
     assert set(drawn.values()) == {1} and {s for s, *_ in drawn} == set(range(16))
-    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed: np.zeros((len(quotas), shards), dtype=np.int64))
+    told = lambda: {(r.doc_id, r.taken, r.shard_words) for r in op3_mixing(spark, "/root/testdata/sf0.001").collect()}
+    first = told()
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed: quotas.where("quota > 0").select("place", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("first"), F.col("quota").alias("end")))
+    second = told()
+    assert {x[:2] for x in first} == {x[:2] for x in second} and len(first & second) < len(first) / 4
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed: spark.createDataFrame([], "place int, shard int, first long, end long"))
     assert mix(df).where("taken > 0").isEmpty() and mixed_documents(df).isEmpty()
 
 
@@ -115,16 +120,40 @@ def test_empty(none):
     assert mix(none).count() == 0 and mixed_documents(none).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 50), min_size=1, max_size=6), st.integers(1, 9), st.integers(0, 5))
-def test_splitting_tree(quotas, shards, seed):
-    bounds = split_quotas(quotas, shards, seed)
-    counts = np.diff(bounds, axis=1, prepend=0)
-    assert (counts >= 0).all() and bounds[:, -1].tolist() == quotas
-    sizes = counts.sum(axis=0)
-    assert sizes.sum() == sum(quotas) and sizes.max() - sizes.min() <= max(1, math.ceil(math.log2(shards)) if shards > 1 else 0)
+def plain_tree(quotas, shards, seed):
+    """{(place, shard): number of draws}, node by node."""
+    out = {}
+
+    def divide(items, low, high):
+        if high - low == 1:
+            for place, _ in items:
+                out[place, low] = out.get((place, low), 0) + 1
+            return
+        middle = (low + high) // 2
+        items = sorted(items, key=lambda x: (hashlib.md5(f"{seed}:{low}:{high}:{x[0]}:{x[1]}".encode()).hexdigest(), x))
+        n = len(items) * (middle - low) // (high - low)
+        divide(items[:n], low, middle)
+        divide(items[n:], middle, high)
+
+    divide([(p, k) for p, q in quotas.items() for k in range(q)], 0, shards)
+    return out
+
+
+@pytest.mark.parametrize(("shards", "seed"), [(1, 0), (2, 1), (7, 2), (16, 3)])
+def test_splitting_tree(spark, shards, seed):
+    quotas = {1: 40, 2: 0, 3: 1, 4: 333}
+    rows = split_quotas(spark.createDataFrame(list(quotas.items()), "place int, quota long"), shards, seed).collect()
+    assert {(r.place, r.shard): r.end - r.first for r in rows} == plain_tree(quotas, shards, seed)
+    for p, q in quotas.items():  # runs follow each other, by shard, and are all of the draws
+        own = sorted((r.shard, r.first, r.end) for r in rows if r.place == p)
+        assert [x[1] for x in own] == [0, *(x[2] for x in own)][: len(own)] and (own[-1][2] if own else 0) == q
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.end - r.first
+    assert max(sizes.values()) - min(sizes.values()) <= math.ceil(math.log2(shards)) + 1 if shards > 1 else True
 
 
 def test_splitting_tree_is_fair():
-    left = [split_quotas([30, 10], 2, s)[:, 0] for s in range(400)]
-    assert np.mean([x[1] for x in left]) == pytest.approx(5, abs=0.4) and all(x.sum() == 20 for x in left)
+    left = [plain_tree({1: 30, 2: 10}, 2, s) for s in range(400)]
+    assert np.mean([x.get((2, 0), 0) for x in left]) == pytest.approx(5, abs=0.4) and all(x.get((1, 0), 0) + x.get((2, 0), 0) == 20 for x in left)
+    assert np.var([x.get((2, 0), 0) for x in left]) == pytest.approx(20 * 0.25 * 0.75 * 20 / 39, rel=0.3)  # of a hypergeometric sample
