@@ -205,6 +205,7 @@ def counted(reports: DataFrame, findings: DataFrame) -> DataFrame:
     return reports.join(found, "root", "left").withColumns({s: F.coalesce(s, F.lit(0).cast("long")) for s in SECTIONS})
 
 
+# The texts of a report.
 #: What counts as actionable, in the order of the moves it asks for.
 ACTIONS = {
     "brokenImports": ("broken import", "Fix broken imports before deleting files."), "deletionCandidates": ("cleanup candidate", "Run the cleanup preview and remove unused files of high confidence."),

@@ -1,8 +1,8 @@
-"""Scripts that run other scripts, as relations, and excerpts cut by bytes."""
+"""Scripts that run other scripts and steps of workflows, as relations, and excerpts cut by bytes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refgraph.sources.commands import DEEPEST, RUNNERS
@@ -81,3 +81,67 @@ def bounded_excerpt(data: Column, lines: int = MOST_LINES, most: int = MOST_BYTE
 def _let(value: Column, body) -> Column:
     """body(value) with value made once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def text_lines(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, pos, line): the lines of texts, numbered from 0. A null or empty text has none."""
+    text = F.regexp_replace(F.col(text_col), r"\r?\n\z", "")
+    split = F.when(F.col(text_col) != "", F.split(text, r"\r?\n", -1))
+    return texts.select(F.col(id_col).alias("id"), F.posexplode(split).alias("pos", "line"))
+
+
+def _unquoted(text: Column) -> Column:
+    return F.regexp_replace(text, r"""(?s)^(?:"(.*)"|'(.*)')$""", "$1$2")
+
+
+def run_steps(lines: DataFrame) -> DataFrame:
+    """(id, pos, command, folder): the `run:` lines of workflows, read by lines and indents, from (id, pos, line) without gaps.
+
+    A value that begins with `|` or `>` is the block of lines below that are indented further, blank ones too; run lines in it are
+    its text. folder is the `working-directory:` of the same step, the lines around that are not indented less, from an item on
+    to the next item.
+
+    A line ends the blocks of the indents that it does not exceed, so where blocks end, and what they hold, are questions to
+    windows over (id, indent): each line is there once for each indent that blocks of its text have. Blocks are nested by
+    construction, so a run line counts where it is in none."""
+    indent = F.char_length(F.regexp_extract("line", r"^(\s*)", 1))
+    body = F.regexp_replace("line", r"^\s+", "")
+    value = lambda key: F.when(body.rlike(rf"^(?:- )?{key}:"), F.regexp_replace(body, rf"(?s)^(?:- )?{key}:", ""))
+    rows = lines.select("id", "pos", "line", indent.alias("indent"), (F.trim(body) == "").alias("blank"), F.startswith(body, F.lit("- ")).alias("item"), F.regexp_replace(value("run"), r"^\s+", "").alias("run"), value("working-directory").alias("folder"))
+    rows = rows.withColumn("block", F.coalesce(F.col("run").rlike("^[|>]"), F.lit(False)))
+
+    def levelled(df: DataFrame, levels: DataFrame) -> DataFrame:
+        return df.join(levels.select("id", F.col("indent").alias("level")).distinct(), "id")
+
+    def before(what: Column, keys: list[str]) -> Column:
+        return F.last(what, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+
+    def after(what: Column, keys: list[str]) -> Column:
+        return F.first(what, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(1, Window.unboundedFollowing))
+
+    at = ["id", "level"]
+    ends_it = ~F.col("blank") & (F.col("indent") <= F.col("level"))
+    ranks = levelled(rows, rows.where("block")).where(ends_it | F.col("run").isNotNull())
+    ranks = ranks.withColumns({"within": before(F.when(ends_it, F.col("block") & (F.col("indent") == F.col("level"))), at), "end": after(F.when(ends_it, F.col("pos")), at)})
+    inner = ranks.where("run is not null and indent > level and within").select("id", "pos").distinct()
+    own = ranks.where("block and indent = level").select("id", "pos", F.coalesce("end", F.lit(2147483647)).alias("end"))
+    runs = rows.where("run is not null").join(inner, ["id", "pos"], "left_anti").select("id", "pos", "indent", "run", "block")
+
+    blocks = runs.where("block").join(own, ["id", "pos"]).select("id", "pos", F.struct(F.col("pos").alias("start"), "end").alias("b"))
+    held = rows.select("id", "pos", "line").join(blocks, ["id", "pos"], "left").withColumn("in", before(F.col("b"), ["id"])).where("pos < in.end")
+    texts = held.groupBy("id", F.col("in.start").alias("pos")).agg(F.expr("listagg(concat(regexp_replace(line, '^\\\\s+|\\\\s+$', ''), '\n'), '') within group (order by pos)").alias("text"))
+
+    first, last = F.col("item") | (F.col("indent") < F.col("level")), (F.col("indent") < F.col("level")) | (F.col("item") & (F.col("indent") == F.col("level")))
+    mine = F.col("mine") & (F.col("indent") == F.col("level"))
+    marked = rows.join(runs.select("id", "pos", F.lit(True).alias("mine")), ["id", "pos"], "left").withColumn("mine", F.coalesce("mine", F.lit(False)))
+    steps = levelled(marked, runs).where(first | mine)
+    steps = steps.withColumns({"above": before(F.when(first, F.struct("pos", "item")), at), "below": after(F.when(last, F.col("pos")), at)}).where(mine)
+    begins = F.coalesce(F.when(F.col("above.item"), F.col("above.pos")).otherwise(F.col("above.pos") + 1), F.lit(0))
+    steps = steps.select("id", F.col("pos").alias("of"), begins.alias("pos"), F.coalesce("below", F.lit(2147483647)).alias("below"), F.lit(None).cast("string").alias("folder"))
+    named = rows.where("folder is not null").select("id", F.lit(None).cast("int").alias("of"), "pos", F.lit(None).cast("int").alias("below"), "folder")
+    follow = Window.partitionBy("id").orderBy("pos", F.col("of").isNull()).rowsBetween(0, Window.unboundedFollowing)
+    found = steps.unionByName(named).withColumn("next", F.first(F.when(F.col("folder").isNotNull(), F.struct("pos", "folder")), ignorenulls=True).over(follow)).where("of is not null")
+    folder = F.when(F.col("next.pos") < F.col("below"), _unquoted(F.regexp_replace("next.folder", r"^\s+|\s+$", "")))
+    found = found.select("id", F.col("of").alias("pos"), folder.alias("folder"))
+    command = F.when(F.col("block"), F.coalesce("text", F.lit(""))).otherwise(_unquoted(F.col("run")))
+    return runs.join(texts, ["id", "pos"], "left").join(found, ["id", "pos"]).select("id", "pos", command.alias("command"), "folder")

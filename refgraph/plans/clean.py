@@ -103,6 +103,7 @@ def preview(report: dict, least: float = 0.0) -> dict[str, list[dict]]:
     return out
 
 
+# The lines of a clean-up plan.
 def plan_text(p: Plan) -> str:
     line = lambda c: f"- {c['file']} (confidence {c['confidence']:.2f}, {c['reason']})"
     out = ["Clean dry run.", "", f"Deletion targets: {len(p.targets)}", *map(line, p.targets)]

@@ -56,6 +56,7 @@ def _counts(x: dict) -> str:
     return ", ".join(f"{c} {x[c]}" for c in CHANGES)
 
 
+# Headings and labels of the two texts below.
 def summary_text(diff: dict) -> str:
     out = ["Diff complete.", "", f"Before: {diff['before']['path']}", f"After: {diff['after']['path']}", ""]
     out += [f"{LABELS[s]}: {_counts(diff['summary'][s])}" for s in SECTIONS]

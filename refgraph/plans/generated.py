@@ -75,6 +75,7 @@ def orphan_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", "kind", classify.orphan_reason(F.col("kind")).alias("reason"), classify.orphan_confidence(F.col("kind")).alias("confidence"))
 
 
+# Reasons and what is displayed for them.
 REASONS = Cases([
     ("Component-like module has no inbound references.", "컴포넌트로 보이는 모듈에 참조가 없습니다."), ("Route-like module is not connected to any router entry.", "라우트로 보이는 모듈이 어떤 라우터 진입점에도 연결되지 않았습니다."),
     ("Module has no inbound references and is not treated as an entrypoint.", "모듈에 참조가 없고 진입점으로 취급되지 않습니다."), ("another reason #", "another reason #"),

@@ -49,3 +49,30 @@ def bounded_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.encode("text", "utf-8")
     spoiled = F.when(F.col("doc_id") % 50 == 7, F.concat(data, F.unhex(F.lit("FF")))).otherwise(data)
     return table(spark, sf_dir, "documents").select("doc_id", ops.bounded_excerpt(spoiled).alias("excerpt"))
+
+
+#: Lines of workflows, 12 a file; K becomes a part's number.
+STEPS = ["steps:", "  - run: node K.js", "  - name: K", "    run: |", "      echo K", "", "        run: x K", "    working-directory: 'w/K'", "  - run: >", "   run: \"a K\"", "    - working-directory: vK", "      working-directory: uK"]
+
+
+@query(f"""
+with l as (
+  select p_partkey // 12 as id, (p_partkey % 12)::int as pos, replace([{", ".join("'" + s.replace("'", "''") + "'" for s in STEPS)}][((p_partkey * 5 + p_size * 7) % {len(STEPS)} + 1)::int], 'K', p_partkey::varchar) as line from part),
+r as (
+  select *, length(line) - length(ltrim(line)) as indent, line = '' as blank, starts_with(ltrim(line), '- ') as item, case when regexp_matches(line, '^ *(- )?run:') then ltrim(regexp_replace(line, '^ *(- )?run:', '')) end as run,
+    case when regexp_matches(line, '^ *(- )?working-directory:') then trim(trim(regexp_replace(line, '^ *(- )?working-directory:', '')), '''') end as folder from l),
+b as (
+  select *, run[1] in ('|', '>') as block, coalesce((select min(pos) from r x where x.id = r.id and x.pos > r.pos and not x.blank and x.indent <= r.indent), 99) as ends,
+    (select max(pos) from r x where x.id = r.id and x.pos < r.pos and (x.item or x.indent < r.indent)) as above,
+    coalesce((select min(pos) from r x where x.id = r.id and x.pos > r.pos and (x.indent < r.indent or (x.indent = r.indent and x.item))), 99) as below
+  from r where run is not null),
+runs as (select * from b where not exists (select 1 from b x where x.id = b.id and x.block and x.pos < b.pos and b.pos < x.ends))
+select id, pos, case when block then coalesce((select string_agg(trim(line) || chr(10), '' order by pos) from r x where x.id = s.id and x.pos > s.pos and x.pos < s.ends), '') else trim(run, '"') end as command,
+  (select min_by(folder, pos) from r x where x.id = s.id and x.folder is not null and x.pos < s.below
+    and x.pos >= coalesce((select case when y.item then y.pos else y.pos + 1 end from r y where y.id = s.id and y.pos = s.above), 0)) as folder
+from runs s""")
+def run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run lines of workflows, blocks with them, and the folders that their steps name."""
+    k = F.col("p_partkey")
+    line = F.replace(F.get(F.array(*map(F.lit, STEPS)), ((k * 5 + F.col("p_size") * 7) % len(STEPS)).cast("int")), F.lit("K"), k.cast("string"))
+    return ops.run_steps(table(spark, sf_dir, "part").select(F.floor(k / 12).alias("id"), (k % 12).cast("int").alias("pos"), line.alias("line")))

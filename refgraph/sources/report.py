@@ -28,6 +28,7 @@ COUNTS = ["filesScanned", "entrypoints", *SECTIONS]
 VERSION = 2
 PREVIEW = 5
 
+# What the counts and sections of a report are called.
 LABELS = {
     "filesScanned": "Files scanned", "entrypoints": "Entrypoints", "brokenImports": "Broken imports", "orphanFiles": "Orphan files", "deadExports": "Dead exports",
     "unusedImports": "Unused imports", "routeEntrypoints": "Route entrypoints", "deletionCandidates": "Deletion candidates", "suppressedFindings": "Suppressed findings",
@@ -140,6 +141,7 @@ def _count(n: int, what: str) -> str:
 
 def impact(summary: dict) -> tuple[str, str]:
     """The headline, and the move that helps most."""
+    # The texts of a report.
     parts = [("brokenImports", "broken import"), ("deletionCandidates", "cleanup candidate"), ("deadExports", "dead export"), ("unusedImports", "unused import")]
     total = sum(summary[k] for k, _ in parts)
     moves = ["Fix broken imports before deleting files.", "Run the cleanup preview and remove unused files of high confidence.", "Remove dead exports or confirm that they are public API.", "Remove unused imports."]
@@ -166,6 +168,7 @@ def _lines(section: str, item: dict, root: str, code: bool) -> str:
     return f"{file} ({item['reason']}, {sure})" if code else f"{file} ({sure}, {item['reason']})"
 
 
+# Headings and labels of the two texts below.
 def summary_text(report: dict, path: str, title: str = "Report.", tool: str = "refgraph") -> str:
     root, counts = report["project"]["root"], report["summary"]
     headline, move = impact(counts)

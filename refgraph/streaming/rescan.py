@@ -17,22 +17,21 @@ from refgraph.sources.listing import all_files
 
 
 class Rescan:
-    """The parsed modules so far, as generations of a table in the shared folder."""
+    """The parsed modules so far, as a table of epochs in the folder; one of the same folder goes on where another ended."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.parts = spark, folder.rstrip("/"), []
+        self.spark, self.folder = spark, folder.rstrip("/")
+        spark.createDataFrame([], PARSED).write.mode("ignore").parquet(self._of(-1))  # so that there is a table to read
+
+    def _of(self, epoch: int) -> str:
+        return f"{self.folder}/parsed/epoch={epoch}"
 
     def add(self, batch: DataFrame, epoch: int) -> None:
         """For foreachBatch: parses a batch; the later of two rows for a file counts. A repeated epoch changes nothing."""
-        path = f"{self.folder}/epoch-{epoch}"
-        parse_sources(batch).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(path)
-        if path not in self.parts:
-            self.parts.append(path)
+        parse_sources(batch).write.mode("overwrite").parquet(self._of(epoch))
 
     def parsed(self) -> DataFrame:
-        if not self.parts:
-            return self.spark.createDataFrame([], PARSED)
-        rows = self.spark.read.schema(f"{PARSED}, epoch int").parquet(*self.parts)
+        rows = self.spark.read.schema(f"{PARSED}, epoch long").parquet(f"{self.folder}/parsed")
         latest = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("epoch")))
         return rows.withColumn("__n", latest).where("__n = 1").drop("__n", "epoch")
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from refgraph.operators import scripts as ops
-from refgraph.sources.commands import shell_words
+from refgraph.sources.commands import run_steps, shell_words
 
 COMMANDS = [
     "npm run build && yarn test", "echo a#b #c ## d", "a 'b c' \"d;e\" f\\ g", "node ./x.js|tee (y)", "", "   ", "#", "yarn run --flag x", "corepack pnpm run y -- z", "npm build", "/usr/bin/npm run-script a", "x\\\\y 'un", "bun run", "pnpm run --a --b",
@@ -72,3 +72,16 @@ def test_excerpts(spark):
     for k, c in enumerate(cases):
         assert got[k] == plain(c), c[:80]
     assert spark.createDataFrame([("é\nb",)], "t string").select(ops.bounded_excerpt(F.col("t"), lines=1)).first()[0] == "é"
+
+
+def test_run_steps(spark):
+    r = random.Random(6)
+    pieces = ["run: |", "run: >-", "run: node a.js", "- run: 'b c'", "- run: |", "- name: x", "working-directory: w", "- working-directory: \"v\"", "echo", "", "   ", "run: x", "env:"]
+    texts = ["\n".join(" " * r.choice([0, 0, 2, 2, 4, 6]) + r.choice(pieces) + r.choice(["", "", " "]) for _ in range(r.randrange(14))) + r.choice(["", "\n"]) for _ in range(250)] + ["", "run:", "run: |\n", "run: |\r\n  a\r\n\r\n  b\r\n"]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "id int, text string")
+    got = {}
+    for x in ops.run_steps(ops.text_lines(df)).orderBy("id", "pos").collect():
+        got.setdefault(x.id, []).append((x.command, x.folder))
+    for k, text in enumerate(texts):
+        assert got.get(k, []) == run_steps(text), text
+    assert -1 not in got

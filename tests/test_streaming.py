@@ -7,7 +7,8 @@ def test_stream_ends_where_a_scan_does(spark, tmp_path):
     rows = [("/p/a.ts", "import {b} from './b'; b()"), ("/p/b.ts", "export const b = 1, c = 2"), ("/p/c.ts", "import './none'")]
     for n, batch in enumerate(([rows[0], ("/p/b.ts", "export const old = 1")], rows[1:])):
         spark.createDataFrame(batch, "file string, content string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        rescan = Rescan(spark, str(tmp_path / "out")) if n == 0 else rescan
+        rescan = Rescan(spark, str(tmp_path / "out"))  # a new one, as after a restart
+        assert rescan.parsed().count() == 2 * n
         stream = spark.readStream.schema("file string, content string").parquet(str(tmp_path / "in"))
         follow(stream, rescan, str(tmp_path / "log")).awaitTermination()
     found = rescan.scan(ProjectConfig("/p"))
