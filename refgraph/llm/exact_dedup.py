@@ -39,8 +39,9 @@ def sha256(text: Column) -> Column:
 
 def _rows(df: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """One row per input row: id, norm, digest, and the place (file, row) of its content."""
+    at = df.metadataColumn("_metadata")  # whatever columns the table has
     return df.select(
-        F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+        F.col(f"`{id_col}`").alias("id"), normalised(F.col(f"`{text_col}`")).alias("norm"), at.getField("file_path").alias("file"), at.getField("row_index").alias("row")
     ).withColumn("digest", digest(F.col("norm")))
 
 

@@ -184,7 +184,7 @@ def identify(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame
     from pyspark.sql.pandas.types import to_arrow_schema
 
     left = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*(f"`{c}`" for c in left))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(left)))  # names with dots don't get through Arrow functions
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     arrow, at = to_arrow_schema(schema), left.index(text_col)
 
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame
             langs, scores = pooled(net, [t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*left, "lang_pred", "score")
 
 
 def least_score(languages: int, excess: float = LEAST_EXCESS) -> float:

@@ -97,7 +97,7 @@ def _hashes(key: Column) -> list[Column]:
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, heavy: int = HEAVY) -> DataFrame:
     """The rows and columns of docs with dropped lines cut from text_col, and last a struct line_dedup (n_lines before, n_dropped);
-    a column of that name is replaced."""
+    a column of that name is replaced. Ids are numbers, as batches are cut at quantiles of them."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     lines = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("of"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))

@@ -171,7 +171,8 @@ def _mapped(rows: DataFrame, new: list[T.StructField], each: Callable, made: Cal
     names = [f.name for f in new]
     left = [c for c in rows.columns if c not in names]
     used = [c for c in rows.columns]
-    schema = T.StructType([*(rows.schema[c] for c in left), *new])
+    plain = rows.toDF(*(f"c{k}" for k in range(len(used))))  # names with dots don't get through Arrow functions
+    schema = T.StructType([*(plain.schema[used.index(c)] for c in left), *new])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +181,7 @@ def _mapped(rows: DataFrame, new: list[T.StructField], each: Callable, made: Cal
             out = each({c: batch.column(used.index(c)) for c in used}, counter)
             yield pa.RecordBatch.from_arrays([*(batch.column(used.index(c)) for c in left), *(pa.array(v, arrow.field(n).type) for n, v in zip(names, out, strict=True))], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*left, *names)
 
 
 def _shared_counter(rows: DataFrame, file: str | None, pattern: str | None) -> Callable[[], Counter]:
