@@ -6,10 +6,13 @@ after it is joins and aggregates over the parsed relation, which is written once
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import cached_property
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +21,14 @@ from refgraph.functions.paths import normalize_path, package_name
 from refgraph.operators import classify
 from refgraph.operators import reference as ops
 from refgraph.operators.tables import written
-from refgraph.sources import listing
+from refgraph.sources import jsparse, jstokens, listing
 from refgraph.sources.config import DEPENDENCIES, EXTENSIONS, ProjectConfig, load_config, read_jsonc
 from refgraph.sources.jsonc import field
 from refgraph.sources.jsparse import parse_module
 
+for module in (jsparse, jstokens):  # executors get the parser as it is, so the package needn't be installed there
+    cloudpickle.register_pickle_by_value(module)
+
 SPECIFIERS = "array<struct<kind:string,imported:string,local:string>>"
 PARSED = (
     f"file string, imports array<struct<source:string,kind:string,specifiers:{SPECIFIERS}>>, exports array<struct<name:string,kind:string>>, "
@@ -38,15 +44,46 @@ BUILTINS = [
 FINDINGS = ["brokenImports", "orphanFiles", "deadExports", "unusedImports", "routeEntrypoints", "deletionCandidates"]
 
 
+class Written(Mapping):
+    """Relations by name, each written when it is first asked for."""
+
+    def __init__(self, plans: dict[str, DataFrame], prefix: str):
+        self.plans, self.prefix, self.done = plans, prefix, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.done:
+            self.done[name] = written(self.plans[name], f"{self.prefix}-{name}")
+        return self.done[name]
+
+    def __iter__(self):
+        return iter(self.plans)
+
+    def __len__(self) -> int:
+        return len(self.plans)
+
+
 @dataclass
 class Scan:
-    """The relations of one scan. findings: by the names in FINDINGS, after suppressions."""
+    """The relations of one scan. findings: by the names in FINDINGS, after suppressions; before: without these."""
 
     config: ProjectConfig
     modules: DataFrame
     edges: DataFrame
-    findings: dict[str, DataFrame]
-    summary: DataFrame
+    findings: Mapping[str, DataFrame]
+    before: dict[str, DataFrame]
+    counts: DataFrame
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        """One row: files, entries, findings of each kind, and how many a suppression hides."""
+        count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("one", F.lit(1))
+        out, dropped = self.counts.withColumn("one", F.lit(1)), F.lit(0).cast("long")
+        for name in FINDINGS:
+            out = out.join(count(self.findings[name], name), "one")
+        for name, df in self.before.items():
+            out = out.join(count(df, f"all_{name}"), "one")
+            dropped = dropped + F.col(f"all_{name}") - F.col(name)
+        return out.withColumn("suppressedFindings", dropped).select("filesScanned", "entrypoints", *FINDINGS, "suppressedFindings")
 
     def register(self, prefix: str = "refgraph_") -> None:
         """Temporary views of all relations, for SQL."""
@@ -167,24 +204,13 @@ def analyze(parsed: DataFrame, disk: DataFrame, config: ProjectConfig, packages:
     if config.suppressions:
         for name, fields in optional.items():
             findings[name] = ops.suppressed(before[name], known.where(F.col("rule") == name[:-1]), ["file"], fields)
-    findings = {k: written(df, f"scan-{k}") for k, df in findings.items()}
-
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("one", F.lit(1))
-    summary = plain.agg(F.count(F.lit(1)).alias("filesScanned"), F.count("entrypointKind").alias("entrypoints")).withColumn("one", F.lit(1))
-    for name in FINDINGS:
-        summary = summary.join(count(findings[name], name), "one")
-    dropped = F.lit(0).cast("long")
-    if config.suppressions:
-        for name in optional:
-            summary = summary.join(count(before[name], f"all_{name}"), "one")
-            dropped = dropped + F.col(f"all_{name}") - F.col(name)
-    summary = summary.withColumn("suppressedFindings", dropped).select("filesScanned", "entrypoints", *FINDINGS, "suppressedFindings")
+    counts = plain.agg(F.count(F.lit(1)).alias("filesScanned"), F.count("entrypointKind").alias("entrypoints"))
 
     degrees = ops.in_degree(plain.select("file"), edges, "file", "target", "file").withColumnRenamed("imported_by", "importedByCount")
     outgoing = edges.groupBy("file").agg(F.count(F.lit(1)).alias("importCount"))
     counted = modules.join(degrees, "file").join(outgoing, "file", "left").withColumn("importCount", F.coalesce("importCount", F.lit(0).cast("long")))
     counted = counted.withColumn("exportCount", F.size(F.array_distinct("exports")).cast("long"))
-    return Scan(config, counted, edges, findings, summary)
+    return Scan(config, counted, edges, Written(findings, "scan"), {k: before[k] for k in optional} if config.suppressions else {}, counts)
 
 
 def scan(spark: SparkSession, root: str, config: ProjectConfig | None = None) -> Scan:
