@@ -102,9 +102,10 @@ def parse_sources(sources: DataFrame) -> DataFrame:
     return sources.select("file", "content").mapInPandas(parse, PARSED)
 
 
-def tried_paths(base: Column) -> Column:
-    """The files that a path without `.` and `..` can mean, in order: itself, with an extension if it has none, an index below it."""
-    bare = ~classify.file_name(base).rlike(r"[^/]\.[^/]*$")
+def tried_paths(base: Column, dotted: bool = False) -> Column:
+    """The files that a path without `.` and `..` can mean, in order: itself, with an extension if it has none, an index below it.
+    dotted: what follows a dot is no extension, so one is tried there too."""
+    bare = F.lit(True) if dotted else ~classify.file_name(base).rlike(r"[^/]\.[^/]*$")
     none = F.array().cast("array<string>")
     tried = F.concat(F.array(base), F.when(bare, F.array(*(F.concat(base, F.lit(f".{e}")) for e in EXTENSIONS))).otherwise(none), F.array(*(F.concat(base, F.lit(f"/index.{e}")) for e in EXTENSIONS)))
     return F.when(base.isNull(), none).otherwise(tried)

@@ -33,12 +33,13 @@ class Roots:
     reports: DataFrame
 
 
-def resolve_roots(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None, externals: DataFrame | None = None, based: bool = False) -> DataFrame:
+def resolve_roots(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None, externals: DataFrame | None = None, based: bool = False, closed: bool = False, dotted: bool = False) -> DataFrame:
     """imports (root, file, source, ...) with res_kind (source, asset, external, missing) and res_path.
 
     files: (root, path) of the disk. aliases: (root, ord, alias, target). externals: (root, name) of declared packages. based: requests
     that are neither relative nor rooted nor aliased are tried from the root; then only declared and built-in packages are external.
-    Paths are below their roots, file and res_path begin with it."""
+    closed: each root is a disk of its own, so `..` ends at the root; else it leads out of it. dotted: names with a dot are tried with
+    extensions like those without. Paths are below their roots, file and res_path begin with it."""
     request, root = F.col("source"), F.col("root")
     if aliases is None:
         aliases = imports.sparkSession.createDataFrame([], f"root {imports.schema['root'].dataType.simpleString()}, ord int, alias string, target string")
@@ -47,11 +48,15 @@ def resolve_roots(imports: DataFrame, files: DataFrame, aliases: DataFrame | Non
     asked = imports.withColumn("__request", F.when(~special & ~relative & ~rooted, request))
     asked = rules.alias_lookup(asked, aliases, "root", "__request")
     folder = F.regexp_replace("file", "/[^/]*$", "")
-    inner = F.when(relative, F.concat_ws("/", folder, request)).when(rooted, F.concat(root, request)).when(F.col("alias").isNotNull(), F.concat_ws("/", root, "alias_target"))
+    beside = F.concat_ws("/", folder, request)
+    if closed:  # the way from the root, as an absolute path
+        below = F.substring(folder, F.char_length(root) + 1, F.char_length(folder))
+        beside = F.concat(root, normalize_path(F.concat(below, F.lit("/"), request)))
+    inner = F.when(relative, beside).when(rooted, F.concat(root, request)).when(F.col("alias").isNotNull(), F.concat_ws("/", root, "alias_target"))
     base = F.coalesce(inner, F.when(~special, F.concat_ws("/", root, request))) if based else inner
     asked = asked.withColumns({"__inner": inner.isNotNull(), "__base": normalize_path(base)}).drop("__request", "alias", "alias_target")
     asked = written(asked, "roots-asked")  # long expressions that several joins refer to
-    rows = ops.first_match(asked, tried_paths(F.col("__base")), files.select(F.concat_ws("/", "root", "path").alias("__file")), "__file", "res_path")
+    rows = ops.first_match(asked, tried_paths(F.col("__base"), dotted), files.select(F.concat_ws("/", "root", "path").alias("__file")), "__file", "res_path")
     outside = F.lit(True)
     if based:
         name = package_name(request)
@@ -66,12 +71,12 @@ def resolve_roots(imports: DataFrame, files: DataFrame, aliases: DataFrame | Non
 
 
 def analyze_roots(
-    files: DataFrame, modules: DataFrame, imports: DataFrame, aliases: DataFrame | None = None, entries: DataFrame | None = None, keep: DataFrame | None = None, suppressions: DataFrame | None = None, externals: DataFrame | None = None, based: bool = False
+    files: DataFrame, modules: DataFrame, imports: DataFrame, aliases: DataFrame | None = None, entries: DataFrame | None = None, keep: DataFrame | None = None, suppressions: DataFrame | None = None, externals: DataFrame | None = None, based: bool = False, closed: bool = False, dotted: bool = False
 ) -> Roots:
     """files: (root, path) of each disk. modules: (root, path, barrel, exports array<struct<name, kind>>, unused array<struct<source,
     local, imported>>). imports: (root, path, pos, source, kind, specifiers). entries: (root, path, kind), kind `user-entry` or
     `package-entry`. keep: (root, ord, line). suppressions: (root, section, path, source, local, exportName), a null field covering
-    everything. aliases, externals, based: as in resolve_roots. What several plans read (modules, resolved imports,
+    everything. aliases, externals, based, closed, dotted: as in resolve_roots. What several plans read (modules, resolved imports,
     findings that suppressions go through) is written; the rest is made when asked for. Roots and paths must not be null."""
     file = F.concat_ws("/", "root", "path")
     named = modules.select("root", "path", file.alias("file"), "barrel", F.array_distinct("exports").alias("exports"), "unused")
@@ -84,7 +89,7 @@ def analyze_roots(
     plain = written(named.select("root", "path", "file", "barrel", "exports", "unused", "kind", "kept"), "roots-modules")
 
     asked = imports.select("root", file.alias("file"), "pos", "source", "kind", F.col("specifiers").cast(SPECIFIERS).alias("specifiers"))
-    resolved = written(resolve_roots(asked, files, aliases, externals, based), "roots-imports")
+    resolved = written(resolve_roots(asked, files, aliases, externals, based, closed, dotted), "roots-imports")
     edges = ops.resolved(resolved.where("res_kind = 'source'").withColumnRenamed("res_path", "target"), plain, "target", "file")
 
     taken = edges.select("target", "kind", F.explode_outer("specifiers").alias("s")).select("target", "kind", F.col("s.kind").alias("s_kind"), "s.imported")
@@ -147,7 +152,7 @@ ROOTS = 40
 def _roots(spark: SparkSession, sf_dir: str) -> Roots:
     """Module j imports a of module 2j, and every fifth leaves it unused; every seventh imports module 3j as a whole. Every 11th is a
     page, every 13th a tool's configuration, every 17th and 19th an entry, every 23rd a barrel. Every root has aliases, a keep list
-    and suppressions."""
+    and suppressions, and is a disk of its own, whose configurations are asked for without extension."""
     named = "case when {0} % 13 = 5 then concat('lib', {0}, '/jest.config') when {0} % 11 = 0 then concat('app/x', {0}, '/page') else concat('lib/m', {0}) end"
     asks = "case j % 4 when 0 then concat('@/', {0}) when 1 then concat('/', {0}, '.ts') when 2 then concat('~', {0}, '!x') else concat(if(j % 11 = 0, '../../', './../'), {0}) end"
     keys = table(spark, sf_dir, "customer").selectExpr(f"c_custkey % {ROOTS} as r", f"c_custkey div {ROOTS} as j").selectExpr("*", *(f"{named.format(f'({k} * j)')} as n{k}" for k in (1, 2, 3)))
@@ -170,7 +175,7 @@ def _roots(spark: SparkSession, sf_dir: str) -> Roots:
     none = F.lit(None).cast("string")
     hide = lambda where, section, **fields: base.where(where).select("root", F.lit(section).alias("section"), "path", *(fields.get(f, none).alias(f) for f in ("source", "local", "exportName")))
     hides = hide("r % 4 = 0 and j = 7", "orphanFiles").unionByName(hide("r % 4 = 1", "deadExports", exportName=F.lit("b"))).unionByName(hide("r % 4 = 2 and j % 2 = 0", "unusedImports")).unionByName(hide("r % 4 = 3", "brokenImports", source=F.lit("@/lib/m1000000")))
-    return analyze_roots(base.select("root", "path"), modules, imports, aliases, entries, keep, hides)
+    return analyze_roots(base.select("root", "path"), modules, imports, aliases, entries, keep, hides, closed=True, dotted=True)
 
 
 _NAMED = "case when {0} % 13 = 5 then 'lib' || {0} || '/jest.config' when {0} % 11 = 0 then 'app/x' || {0} || '/page' else 'lib/m' || {0} end"

@@ -2,11 +2,13 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from refgraph.operators import reports
 from refgraph.plans import project, roots
+from refgraph.plans.catalogue import ORACLE_SQL
 from refgraph.sources import report as one
 from refgraph.sources.config import ProjectConfig
 
@@ -96,3 +98,23 @@ def test_findings_read_back(analysed):
     assert again.rejects.count() == 0
     key = lambda df: {(r.root, r.key) for r in df.withColumn("key", F.concat("section", F.lit(" "), reports.finding_key())).collect()}
     assert key(again.findings) == key(analysed.findings)
+
+
+def test_closed_and_dotted(spark):
+    """By default `..` leads out of a root and a dot begins an extension; a closed root ends it, and dotted names get extensions."""
+    asked = [("/r", "/r/a.ts", "../s/b"), ("/r", "/r/a.ts", "../../x"), ("/r", "/r/lib/a.ts", "./jest.config"), ("/r", "/r/lib/a.ts", "../lib/jest.config.ts"), ("/r", "/r/lib/a.ts", "../../../lib"), ("q", "q/lib/a.ts", "../../y")]
+    rows = spark.createDataFrame(asked, "root string, file string, source string")
+    files = spark.createDataFrame([("/r", "x.ts"), ("/r", "lib/jest.config.ts"), ("/r", "lib/index.ts"), ("/s", "b.ts"), ("q", "y.ts")], "root string, path string")
+    found = lambda **how: [{r.source: r.res_path for r in roots.resolve_roots(rows, files, **how).collect()}.get(s) for _, _, s in asked]
+    assert found() == ["/s/b.ts", None, None, "/r/lib/jest.config.ts", None, None]
+    assert found(closed=True) == [None, "/r/x.ts", None, "/r/lib/jest.config.ts", "/r/lib/index.ts", "q/y.ts"]
+    assert found(dotted=True) == ["/s/b.ts", None, "/r/lib/jest.config.ts", "/r/lib/jest.config.ts", None, None]
+
+
+def test_many_modules(spark, tmp_path):
+    """Modules that ask for configurations, and for more folders up than there are: 15,000 customers' keys of three roots."""
+    spark.range(15_000).where("id % 40 in (0, 1, 13)").select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    want = duckdb.connect()
+    want.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    got = [repr(tuple(r)) for r in roots.roots_findings(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(map(repr, want.execute(ORACLE_SQL["roots_findings"]).fetchall()))
