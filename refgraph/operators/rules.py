@@ -74,12 +74,13 @@ def compiled_rules(lines: DataFrame, owner: str = "root", order: str = "ord", li
     Blank lines are no rules. file_regex and dir_regex say what the rule matches as a file and as a folder; kind and key are the
     literal part by which it is found: `path`, a leading path; `name`, a whole segment; `ext`, a segment's last extension; `any`,
     nothing. prefix is the pattern up to its first wildcard. by_name: a boolean column of lines, true for names of folders that a tool
-    ignores by itself."""
+    ignores by itself. Of equal lines of an owner only the last is a rule: it matches what the others do and decides after them."""
     text = F.trim(F.col(line))
     negated = F.startswith(text, F.lit("!"))
     body = F.replace(F.trim(F.when(negated, F.substring(text, 2, 1 << 30)).otherwise(text)), F.lit("\\"), F.lit("/"))
     named = F.coalesce(F.col(by_name), F.lit(False)) if by_name else F.lit(False)
     rows = lines.select(F.col(owner).alias("owner"), F.col(order).alias("ord"), negated.alias("negated"), body.alias("__body"), named.alias("by_name"))
+    rows = rows.groupBy("owner", "negated", "__body", "by_name").agg(F.max("ord").alias("ord"))
     rows = rows.withColumns({"folder_only": F.endswith("__body", F.lit("/")) | F.col("by_name"), "anchored": F.col("__body").rlike(r"^(?:/|\./)")})
     rows = rows.withColumn("pattern", F.regexp_replace(F.regexp_replace("__body", r"^(?:\./|/+(?:\./)?)", ""), "^/+|/+$", "")).where("pattern <> ''")
     rows = rows.withColumn("deep", F.col("anchored") | F.contains("pattern", F.lit("/")))
@@ -114,13 +115,19 @@ def _salt(value: Column) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("string")
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows in as many parts as shuffles have, by a hash of keys. Few bytes cost much time here, as each string meets many rules, so
+    the parts are not put together by their bytes; the hash keeps Spark from taking a shuffle by the keys themselves for this one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
+
+
 def matches(paths: DataFrame, rules: DataFrame, regex: str = "file_regex") -> DataFrame:
     """(owner, path, ord, negated, by_name): every rule of rules that matches a path of its owner, from paths (owner, path)."""
     segments = F.split("path", "/", -1)
     one = lambda kind: lambda key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     ext = F.transform(F.filter(segments, lambda s: F.contains(s, F.lit("."))), lambda s: F.substring_index(s, ".", -1))
     keys = F.concat(F.transform(_ancestors(F.col("path"), True), one("path")), F.transform(segments, one("name")), F.transform(ext, one("ext")), F.array(F.struct(F.lit("any").alias("kind"), _salt(F.col("path")).alias("key"))))
-    asked = paths.select("owner", "path", F.explode(F.array_distinct(keys)).alias("k")).select("owner", "path", "k.kind", "k.key")
+    asked = _spread(paths, "owner", "path").select("owner", "path", F.explode(F.array_distinct(keys)).alias("k")).select("owner", "path", "k.kind", "k.key")
     tested = _salted(rules.where(F.col(regex).isNotNull())).select("owner", "kind", "key", "ord", "negated", "by_name", F.col(regex).alias("regex"))
     return asked.join(tested, ["owner", "kind", "key"]).where(F.regexp_like("path", F.col("regex"))).select("owner", "path", "ord", "negated", "by_name")
 
@@ -150,7 +157,7 @@ def _samples(folders: DataFrame, rules: DataFrame) -> DataFrame:
     """(owner, folder, named, sample, is_dir): for folders (owner, folder, named) and negated rules that may match in them, a path at
     or below the folder that the rule matches."""
     cols = ["pattern", "folder_only", "deep", "prefix", "file_regex", "dir_regex", "ord"]
-    rules = rules.where("negated")
+    folders, rules = _spread(folders, "owner", "folder"), rules.where("negated")
     literal = rules.where("prefix <> '' and contains(pattern, '/')").select("owner", *cols)
     up = folders.withColumn("prefix", F.explode(_ancestors(F.col("folder"), True)))
     below = up.join(literal, ["owner", "prefix"]).select("owner", "folder", "named", *cols)

@@ -38,6 +38,17 @@ def test_ignored_paths(spark):
     assert set(got.values()) == {True, False}
 
 
+def test_repeated_lines(spark):
+    """Of equal lines the last is a rule, so repeating a list does not make more of them; strings are spread however few bytes they have."""
+    lines = ["a", "!a", "b/", "*.ts"]
+    rows = spark.range(4000).selectExpr("cast(id % 2 as int) as root", "id as ord", f"array({', '.join(map(repr, lines))})[cast(id / 2 as int) % 4] as line")
+    compiled = ops.compiled_rules(rows)
+    assert sorted((r.owner, r.ord) for r in compiled.collect()) == sorted((k % 2, 3992 + k) for k in range(8))
+    asked = spark.createDataFrame([(k, p) for k in (0, 1) for p in ("a", "b", "b/x", "x.ts", "a/b.ts")], "root int, path string")
+    assert {(r.root, r.path): r.ignored for r in ops.ignored_paths(asked, compiled).collect()} == {(k, p): i for k in (0, 1) for p, i in (("a", False), ("b", False), ("b/x", True), ("x.ts", True), ("a/b.ts", True))}
+    assert "REPARTITION_BY_NUM" in plan(ops.ignored_paths(asked, compiled))
+
+
 class Walk:
     """One list, one path at a time, with recursion over segments."""
 
