@@ -29,10 +29,10 @@ def alias_lookup(requests: DataFrame, aliases: DataFrame, owner: str = "root", r
     ord; nulls where none does.
 
     aliases: (owner, ord, alias, target). One `*` of an alias stands for what is between its ends, which takes the place of the
-    target's first `*`; a target without one is a folder. A request is cut at each length that a head of its owner's aliases has, and
+    target's first `*`; a target without one is a folder. Of equal aliases of an owner only the one with the smallest ord is looked at. A request is cut at each length that a head of its owner's aliases has, and
     the heads are joined by equality. Null requests, owners and aliases fit nothing; repeated requests stay repeated."""
     head, star = F.substring_index("alias", "*", 1), F.contains(F.col("alias"), F.lit("*"))
-    known = aliases.select(F.col(owner).alias("__o"), "ord", "alias", "target", head.alias("__head"), star.alias("__star")).where("alias is not null")
+    known = first_aliases(aliases, owner).select(F.col(owner).alias("__o"), "ord", "alias", "target", head.alias("__head"), star.alias("__star"))
     known = known.withColumn("__tail", F.when(F.col("__star"), F.substring("alias", F.char_length("__head") + 2, F.char_length("alias"))))
     asked = requests.select(F.col(owner).alias("__o"), F.col(request).alias("__r")).where("__r is not null").distinct()
 
@@ -54,6 +54,12 @@ def alias_lookup(requests: DataFrame, aliases: DataFrame, owner: str = "root", r
     return requests.join(best, [owner, request], "left")
 
 
+def first_aliases(aliases: DataFrame, owner: str = "root") -> DataFrame:
+    """(owner, alias, ord, target): of equal aliases of an owner the one with the smallest ord, which hides the others."""
+    first = F.max_by(F.struct("ord", "target"), F.struct(-F.col("ord"))).alias("__first")
+    return aliases.where("alias is not null").groupBy(owner, "alias").agg(first).select(owner, "alias", "__first.ord", "__first.target")
+
+
 # Ignore lists
 
 

@@ -146,6 +146,12 @@ def test_aliases(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_repeated_aliases(spark):
+    """Of equal aliases the first is looked at, whatever its target."""
+    rows = spark.range(4000).selectExpr("cast(id % 2 as int) as root", "id as ord", "concat('a', id % 8, '*') as alias", "if(id < 8, null, 'x') as target")
+    assert sorted(map(tuple, ops.first_aliases(rows).collect())) == [(k % 2, f"a{k}*", k, None) for k in sorted(range(8), key=lambda k: (k % 2, k))]
+
+
 def test_suppressions(spark):
     r = random.Random(7)
     fields = ["source", "local"]
