@@ -130,9 +130,14 @@ def _cases(field: int) -> Cases:
     return Cases([(m[field],) for m in MODULES])
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table's keys in as many parts as shuffles have: a file of few bytes is one task to read, but makes many modules."""
+    return table(spark, sf_dir, name).select(key).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    return project.parse_sources(table(spark, sf_dir, "part").select(F.format_string("/p/m%d.ts", key).alias("file"), TEXTS.pick(key).alias("content")))
+    return project.parse_sources(_spread(spark, sf_dir, "part", "p_partkey").select(F.format_string("/p/m%d.ts", key).alias("file"), TEXTS.pick(key).alias("content")))
 
 
 @query(f"""
@@ -166,7 +171,7 @@ DISK = ["/p/src/m#.ts", "/p/src/m#.tsx", "/p/lib/d#/index.tsx", "/p/src/style#.c
 select '/p/src/f' || p_partkey || '.ts' as file, {_filled("source", "kind", "path")} from part join {REQUESTS.sql("source, kind, path")} on i = p_partkey % {len(REQUESTS.rows)}""")
 def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    part = table(spark, sf_dir, "part")
+    part = _spread(spark, sf_dir, "part", "p_partkey")
     config = ProjectConfig("/p", base_url="/p", aliases=[("@/*", "/p/src/*"), ("cfg", "/p/lib/d1")], external_packages={"react", "@scope/pkg"})
     asked = part.select(F.format_string("/p/src/f%d.ts", key).alias("file"), REQUESTS.pick(key).alias("source"))
     disk = part.select(F.explode(F.array(*(F.replace(F.lit(d), F.lit("#"), key.cast("string")) for d in DISK))).alias("path"))
@@ -177,7 +182,7 @@ def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _graph(spark: SparkSession, sf_dir: str, suppressions: tuple = ()) -> project.Scan:
     """Module k imports a of module 2k, and every fifth leaves it unused; module 3k is imported as a whole by every seventh;
     every eleventh is a page. Every module exports a and b."""
-    key, customers = F.col("c_custkey"), table(spark, sf_dir, "customer")
+    key, customers = F.col("c_custkey"), _spread(spark, sf_dir, "customer", "c_custkey")
     name = lambda k: F.when(k % 11 == 0, F.format_string("app/x%d/page", k)).otherwise(F.format_string("lib/m%d", k))
     text = F.concat(
         F.lit("import { a } from '@/"), name(2 * key), F.lit("';\n"), F.when(key % 5 > 0, F.lit("a();\n")).otherwise(F.lit("")),

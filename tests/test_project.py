@@ -198,3 +198,11 @@ def test_commands():
     steps = commands.run_steps("steps:\n  - name: x\n    working-directory: tools\n    run: node a.mjs\n  - run: |\n      node b.mjs\n      node c.mjs\n")
     assert steps == [("node a.mjs", "tools"), ("node b.mjs\nnode c.mjs\n", "tools")]  # a step that starts with `- run:` sees the one above
     assert commands.with_action_path("${{ github.action_path }}/x.sh $ACTION_PATH", "/r") == "/r/x.sh /r"
+
+
+def test_modules_of_small_files_are_spread(spark):
+    """Tables of few bytes are parsed by as many tasks as shuffles have, not by one for each file."""
+    from refgraph.plans import generated
+
+    assert generated._parsed(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+    assert generated._spread(spark, "/root/testdata/sf0.001", "customer", "c_custkey").rdd.getNumPartitions() == 4
