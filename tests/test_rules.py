@@ -162,6 +162,34 @@ def test_suppressions(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize(("many", "hot"), [(1000, 1000), (1, 1000), (1, 20), (1000, 20)])
+def test_suppressions_of_keys(spark, monkeypatch, many, hot):
+    """Keys with few and with many rules, hot ones and others, null fields on both sides: all are covered alike."""
+    monkeypatch.setattr(ops, "MANY", many)
+    monkeypatch.setattr(ops, "HOT_SHARE", hot)
+    r = random.Random(8)
+    rows = [(r.choice([0, 0, 0, *range(30), None]), r.choice(["a", "b", None]), r.choice(["x", "y", None])) for _ in range(600)]
+    rules = [(r.choice([*range(40), None]), r.choice(["a", "b", None]), r.choice(["x", None, None])) for _ in range(25)]
+    left, right = (spark.createDataFrame(x, "file int, source string, local string") for x in (rows, rules))
+    got = ops.suppressed_by_table(left, right, ["file"], ["source", "local"])
+    want = [x for x in rows if not any(x[0] is not None and x[0] == f and s in (None, x[1]) and m in (None, x[2]) for f, s, m in rules)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_suppressions_shuffle_once(spark):
+    """Findings are shuffled once, whatever the number of sets of fields that rules name."""
+    asked = spark.range(1000).selectExpr("id as file", "'a' as source", "'b' as local", "id as more")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(ops.suppressed_by_table(asked, asked.selectExpr("file", "source", "if(file % 2 = 0, local, null) as local"), ["file"], ["source", "local"]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    left = [x for x in text.splitlines() if "Exchange hashpartitioning" in x and "__salt" in x and "Left" not in x]
+    assert len(left) <= 1 + 4  # of findings, and of the rules of each set
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
