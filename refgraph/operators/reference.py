@@ -97,7 +97,8 @@ def threshold_split(rows: DataFrame, confidence: str, least: float) -> DataFrame
 
 
 def first_match(requests: DataFrame, candidates: Column, known: DataFrame, key: str, out: str = "path") -> DataFrame:
-    """Adds out: the first of an array of candidates that is a key of known, else null. Each distinct array is looked up once."""
+    """Adds out: the first of an array of candidates that is a key of known, else null. Each distinct array is looked up once, and is
+    shuffled with each of its candidates, so arrays should be short."""
     rows = requests.withColumn("__tried", candidates)
     tried = rows.select("__tried").distinct().select("__tried", F.posexplode("__tried").alias("__at", "__path"))
     hits = tried.join(known.select(F.col(key).alias("__path")).distinct(), "__path", "left_semi")

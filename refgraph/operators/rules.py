@@ -228,7 +228,7 @@ def walked_files(files: DataFrame, rules: DataFrame, owner: str = "root", path:
 # Suppressions
 
 
-def _hot_keys(findings: DataFrame, exact: list[str]) -> DataFrame:
+def hot_keys(findings: DataFrame, exact: list[str]) -> DataFrame:
     """(exact, __hot): keys with more than one in HOT_SHARE of all findings. Counted by a hash first, so only few keys are dealt out."""
     share = findings.agg(F.greatest(F.count(F.lit(1)) / HOT_SHARE, F.lit(HOT_SHARE)).alias("__share")).scalar()
     hashed = findings.select(*exact, F.pmod(F.xxhash64(*exact), F.lit(4 * HOT_SHARE)).alias("__part"))
@@ -245,7 +245,7 @@ def suppressed_by_table(findings: DataFrame, rules: DataFrame, exact: list[str],
     fields too. Neither side has to fit into a task or a broadcast. Exact keys with more than one in HOT_SHARE of all findings, which
     are fewer than that, are dealt out in SALTS parts. Null exact fields are covered by nothing, repeated findings are kept or covered
     together. Hot keys and those with many rules are written."""
-    hot = F.broadcast(written(_hot_keys(findings, exact), "hot-keys"))
+    hot = F.broadcast(written(hot_keys(findings, exact), "hot-keys"))
     many = written(rules.groupBy(*exact).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > MANY).select(*exact, F.lit(True).alias("__many")), "many-rules")
     alike = all(findings.schema[c].dataType == rules.schema[c].dataType for c in optional)
     if many.isEmpty():

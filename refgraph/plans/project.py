@@ -20,6 +20,7 @@ from refgraph.functions.globs import ignored, rules
 from refgraph.functions.paths import normalize_path, package_name
 from refgraph.operators import classify
 from refgraph.operators import reference as ops
+from refgraph.operators.rules import SALTS, hot_keys
 from refgraph.operators.tables import written
 from refgraph.sources import jsparse, jstokens, listing
 from refgraph.sources.config import DEPENDENCIES, EXTENSIONS, ProjectConfig, load_config, read_jsonc
@@ -102,17 +103,52 @@ def parse_sources(sources: DataFrame) -> DataFrame:
     return sources.select("file", "content").mapInPandas(parse, PARSED)
 
 
+def _bare(base: Column) -> Column:
+    """Whether the name has no extension."""
+    return ~classify.file_name(base).rlike(r"[^/]\.[^/]*$")
+
+
 def tried_paths(base: Column, dotted: bool = False) -> Column:
     """The files that a path without `.` and `..` can mean, in order: itself, with an extension if it has none, an index below it.
     dotted: what follows a dot is no extension, so one is tried there too."""
-    bare = F.lit(True) if dotted else ~classify.file_name(base).rlike(r"[^/]\.[^/]*$")
+    bare = F.lit(True) if dotted else _bare(base)
     none = F.array().cast("array<string>")
     tried = F.concat(F.array(base), F.when(bare, F.array(*(F.concat(base, F.lit(f".{e}")) for e in EXTENSIONS))).otherwise(none), F.array(*(F.concat(base, F.lit(f"/index.{e}")) for e in EXTENSIONS)))
     return F.when(base.isNull(), none).otherwise(tried)
 
 
+def found_paths(rows: DataFrame, base: str, disk: DataFrame, path: str, out: str, dotted: bool = False) -> DataFrame:
+    """Adds out: the first of tried_paths(base) that is a path of disk, else null.
+
+    Lists of paths are not compared: each file offers itself to the bases that can mean it, of which there are three at most, with
+    its place in their order, so a request and an offer are one short row each. They are merged: the optimizer can take a disk whose
+    paths are made from a small table for small, and broadcast it. Hot bases, of which there are fewer than HOT_SHARE, are dealt out
+    in SALTS parts, and so are null ones."""
+    suffixes = ["", *(f".{e}" for e in EXTENSIONS), *(f"/index.{e}" for e in EXTENSIONS)]
+    file = F.col("__file")
+    ext = F.substring_index(file, ".", -1)
+    stem = F.when(F.endswith(file, F.concat(F.lit("."), ext)), F.left(file, F.char_length(file) - F.char_length(ext) - 1))
+    at = F.array_position(F.array(*map(F.lit, EXTENSIONS)), ext).cast("int")  # from 1; 0: none of them
+    bare = F.lit(True) if dotted else _bare(stem)
+    offer = lambda to, place, holds: F.when(holds, F.struct(to.alias("base"), place.alias("place")))
+    offers = F.array(
+        offer(file, F.lit(0), F.lit(True)), offer(stem, at, (at > 0) & bare),
+        offer(F.left(stem, F.char_length(stem) - len("/index")), at + len(EXTENSIONS), (at > 0) & F.endswith(stem, F.lit("/index"))),
+    )
+    offered = disk.select(F.col(path).alias("__file")).where("__file is not null").select(F.explode(F.filter(offers, lambda x: x.isNotNull())).alias("o"))
+    best = offered.groupBy(F.col("o.base").alias(base)).agg(F.min("o.place").alias("__place"))
+
+    hot = F.broadcast(written(hot_keys(rows, [base]), "hot-bases"))
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    asked = rows.join(hot, base, "left").withColumn("__salt", F.when(F.col("__hot") | F.col(base).isNull(), part).otherwise(-1)).drop("__hot")
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    best = best.join(hot, base, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    found = asked.join(best.hint("merge"), [base, "__salt"], "left")
+    return found.select(*rows.columns, F.concat(base, F.get(F.array(*map(F.lit, suffixes)), F.col("__place"))).alias(out))
+
+
 def _candidates(imports: DataFrame, config: ProjectConfig) -> DataFrame:
-    """Adds __inner (names a file of the project) and __tried (the paths that a request can mean, in order) to rows (file, source, ...)."""
+    """Adds __inner (names a file of the project) and __base (the path that a request means, see tried_paths) to rows (file, source, ...)."""
     request = F.col("source")
     folder = F.regexp_replace("file", "/[^/]*$", "")
     alias = ops.alias_match(request, [(a, t) for a, t in config.aliases])
@@ -120,14 +156,13 @@ def _candidates(imports: DataFrame, config: ProjectConfig) -> DataFrame:
     inner = F.when(relative, F.concat_ws("/", folder, request)).when(rooted, F.concat(F.lit(config.root), request)).when(alias.isNotNull(), alias)
     based = F.concat(F.lit(config.base_url), F.lit("/"), request) if config.base_url else F.lit(None).cast("string")
     rows = imports.withColumn("__base", F.when(request.startswith("node:"), None).otherwise(normalize_path(F.coalesce(inner, based))))
-    rows = rows.withColumn("__inner", inner.isNotNull() & ~request.startswith("node:"))
-    return rows.withColumn("__tried", tried_paths(F.col("__base"))).drop("__base")
+    return rows.withColumn("__inner", inner.isNotNull() & ~request.startswith("node:"))
 
 
 def with_unlisted(disk: DataFrame, parsed: DataFrame, config: ProjectConfig) -> DataFrame:
     """disk and the files that imports can mean but the listing lacks: outside the root, or behind linked folders."""
     imports = parsed.select("file", F.explode("imports.source").alias("source"))
-    asked = _candidates(imports, config).select(F.explode("__tried").alias("path")).distinct()
+    asked = _candidates(imports, config).select("__base").distinct().select(F.explode(tried_paths(F.col("__base"))).alias("path")).distinct()
     return written(disk.select("path").unionByName(listing.existing(asked.join(disk, "path", "left_anti"))), "scan-disk")
 
 
@@ -135,23 +170,24 @@ def resolve(imports: DataFrame, disk: DataFrame, config: ProjectConfig, packages
     """Adds res_kind (source, asset, external, missing) and res_path to rows (file, source, ...). disk: (path) of every file.
     packages: declared dependencies by folder."""
     request = F.col("source")
-    rows = written(_candidates(imports, config), "scan-candidates")  # long expressions that three joins refer to
-    rows = ops.first_match(rows, F.col("__tried"), disk, "path", "res_path")
-
+    rows = written(_candidates(imports, config), "scan-candidates")  # long expressions that several joins refer to
     name = package_name(request)
+    asked = rows.select("file", name.alias("__name"))
+    rows = found_paths(rows, "__base", disk, "path", "res_path")
+
     declared = name.isin(sorted(config.external_packages)) if config.external_packages else F.lit(False)
     nested = [(at, n) for at, names in sorted(packages.items()) if at != config.root for n in sorted(names)]
     rows = rows.withColumn("__name", name)
     if nested and config.base_url:  # a package declared in a folder above the file
         above = F.transform(F.sequence(F.lit(1), F.size(F.split("file", "/")) - 1), lambda k: F.array_join(F.slice(F.split("file", "/"), F.lit(1), k), "/"))
-        asked = rows.select("file", "__name").distinct().withColumn("__at", F.explode(above))
-        held = rows.sparkSession.createDataFrame(nested, "__at string, __name string")
+        held = F.broadcast(rows.sparkSession.createDataFrame(nested, "__at string, __name string"))  # the driver holds it
+        asked = asked.join(held.select("__name"), "__name", "left_semi").withColumn("__at", F.explode(above))
         rows = rows.join(asked.join(held, ["__at", "__name"], "left_semi").select("file", "__name", F.lit(True).alias("__nested")).distinct(), ["file", "__name"], "left")
         declared = declared | F.coalesce("__nested", F.lit(False))
     outside = F.lit(True) if not config.base_url else name.isin(BUILTINS) | declared
     is_source = F.col("res_path").rlike(rf"[^/]\.(?:{'|'.join(EXTENSIONS)})$")
     kind = F.when(F.col("res_path").isNotNull(), F.when(is_source, "source").otherwise("asset")).when(F.col("__inner"), "missing").when(request.startswith("node:") | outside, "external").otherwise("missing")
-    return rows.withColumn("res_kind", kind).drop("__tried", "__inner", "__name", "__nested")
+    return rows.withColumn("res_kind", kind).drop("__base", "__inner", "__name", "__nested")
 
 
 def nested_packages(paths: list[str]) -> dict[str, set[str]]:

@@ -16,7 +16,7 @@ from refgraph.operators import classify, reports, rules
 from refgraph.operators import reference as ops
 from refgraph.operators.tables import written
 from refgraph.plans.catalogue import query, table
-from refgraph.plans.project import BUILTINS, SPECIFIERS, tried_paths
+from refgraph.plans.project import BUILTINS, SPECIFIERS, found_paths
 from refgraph.sources.config import EXTENSIONS
 
 #: The optional fields of a suppression, by the section that it hides.
@@ -56,7 +56,7 @@ def resolve_roots(imports: DataFrame, files: DataFrame, aliases: DataFrame | Non
     base = F.coalesce(inner, F.when(~special, F.concat_ws("/", root, request))) if based else inner
     asked = asked.withColumns({"__inner": inner.isNotNull(), "__base": normalize_path(base)}).drop("__request", "alias", "alias_target")
     asked = written(asked, "roots-asked")  # long expressions that several joins refer to
-    rows = ops.first_match(asked, tried_paths(F.col("__base"), dotted), files.select(F.concat_ws("/", "root", "path").alias("__file")), "__file", "res_path")
+    rows = found_paths(asked, "__base", files.select(F.concat_ws("/", "root", "path").alias("path")), "path", "res_path", dotted)
     outside = F.lit(True)
     if based:
         name = package_name(request)

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from refgraph.plans import clean, compare, project
 from refgraph.sources import commands, jsonc, listing, report
@@ -206,3 +207,31 @@ def test_modules_of_small_files_are_spread(spark):
 
     assert generated._parsed(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
     assert generated._spread(spark, "/root/testdata/sf0.001", "customer", "c_custkey").rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("dotted", [False, True])
+def test_found_paths_are_the_first_tried(spark, dotted):
+    """Files offered to bases give what a look at each tried path in order gives, for a base that many ask for and null ones too."""
+    disk = [
+        "/p/a", "/p/a.ts", "/p/a.js", "/p/a/index.tsx", "/p/b/index.ts", "/p/b/index.cts", "/p/c.tsx", "/p/c/index.js", "/p/d.e.ts", "/p/d.e/index.ts", "/p/.f.ts", "/p/g.mjs", "/p/g.mjs.ts", "/p/index.ts", "/p/index", "/p/h.css", "/p/h.", "/p/ts", "/p/.ts", "/index.js",
+        "index.ts", "ts", ".ts", "/p/i/index/index.ts", "/p/jindex.ts", "/p/k.d.ts", "/p/l.TS", "/p/m\n.ts", None, "/p/a.ts",
+    ]
+    bases = ["/p/a", "/p/a.ts", "/p/b", "/p/c", "/p/c.tsx", "/p/d.e", "/p/d", "/p/.f", "/p/g", "/p/g.mjs", "/p", "/p/index", "/p/h", "/p/h.css", "/p/h.", "/p/ts", "/p/", "/", "", ".", "ts", "/p/i", "/p/i/index", "/p/j", "/p/jindex", "/p/k", "/p/k.d", "/p/l", "/p/m\n", "/p/none", None]
+    rows = spark.createDataFrame([(k, b) for k, b in enumerate(bases)], "k long, base string").union(spark.range(100, 2600).select("id", F.when(F.col("id") % 25 > 0, "/p/b")))
+    known = {p for p in disk if p is not None}
+    got = project.found_paths(rows, "base", spark.createDataFrame([(p,) for p in disk], "path string"), "path", "out", dotted)
+    assert got.columns == ["k", "base", "out"]
+    tried = {r.k: next((p for p in r.tried if p in known), None) for r in rows.select("k", project.tried_paths(F.col("base"), dotted).alias("tried")).collect()}
+    found = got.collect()
+    assert len(found) == len(tried) and {r.k: r.out for r in found} == tried
+    assert sum(v is not None for v in tried.values()) > 2400
+
+
+def test_requests_are_shuffled_without_their_paths(spark):
+    """Lists of tried paths, 17 for a request, are no keys of joins or groups, nothing is made for each of them, and the disk is not
+    broadcast."""
+    from refgraph.plans import generated
+
+    plan = generated.import_resolution(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "__tried" not in plan and "posexplode" not in plan and "Cartesian" not in plan
+    assert any("SortMergeJoin" in line and "__salt" in line for line in plan.splitlines())
