@@ -141,12 +141,18 @@ def ranked(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def placed(rows: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
-    """Adds the number of each row in an order of all rows. Ranges of the order are sorted apart; only their sizes, one row each,
-    meet in one task. Ties are numbered in any order."""
+def placed(rows: DataFrame, order: list[Column], out: str = "place", by: list[str] | None = None) -> DataFrame:
+    """Adds the number of each row in an order of all rows, or of those that are equal in by. Ranges of by and order are sorted apart,
+    so no group has to fit into a task; only the sizes of groups' parts meet, without by in one task. Ties are numbered in any order;
+    equal nulls are one group."""
+    by = by or []
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranges = written(rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    before = F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = ranges.groupBy("__range").count().select("__range", F.coalesce(before, F.lit(0)).alias("__start"))
-    number = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return ranges.join(F.broadcast(starts), "__range").withColumn(out, F.col("__start") + number).drop("__range", "__start")
+    at = [*(F.col(c) for c in by), *order]
+    sorted_apart = rows.repartitionByRange(parts, *at).sortWithinPartitions(*at).withColumn("__id", F.monotonically_increasing_id())
+    ranges = written(sorted_apart.select(*rows.columns, F.shiftright("__id", 33).cast("int").alias("__range"), F.col("__id").bitwiseAND((1 << 33) - 1).alias("__at")), "ranges")
+    sizes = ranges.groupBy("__range", *by).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("__range").alias("__of"), *(F.col(c).alias(f"__by_{c}") for c in by), (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__start"))
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__by_{c}")), by, F.col("__range") == F.col("__of"))
+    found = ranges.join(starts if by else F.broadcast(starts), same)
+    return found.select(*rows.columns, (F.col("__start") + F.col("__at") + 1).alias(out))

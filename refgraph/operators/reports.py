@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from refgraph.sources.report import COUNTS, ENUMS, LABELS, PREVIEW, SECTIONS, VERSION
 
+from .reference import placed
 from .tables import written
 
 FIELDS = ["file", "source", "kind", "local", "imported", "exportName", "reason", "confidence", "safe"]
@@ -156,7 +157,7 @@ def finding_key(root: str = "root") -> Column:
 
 def changes(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
     """(by, section, key, change, occurrence, place, FIELDS): findings of two sides, by key, as bags: the n-th of a key on both sides
-    persists, as after has it. place numbers a change's findings of a section by key, then occurrence."""
+    persists, as after has it. place numbers a change's findings of a section by key, then occurrence; a section may be of any size."""
     keys = [*by, "section", "key"]
 
     def side(df: DataFrame, name: str) -> DataFrame:
@@ -166,8 +167,8 @@ def changes(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
     both = side(before, "was").join(side(after, "now"), [*keys, "occurrence"], "full")
     change = F.when(F.col("was").isNull(), "introduced").when(F.col("now").isNull(), "resolved").otherwise("persisted")
     rows = both.select(*keys, change.alias("change"), "occurrence", F.coalesce("now", "was").alias("i"))
-    place = F.row_number().over(Window.partitionBy(*by, "section", "change").orderBy("key", "occurrence"))
-    return rows.select(*keys, "change", "occurrence", place.alias("place"), "i.*")
+    rows = placed(rows.select(*keys, "change", "occurrence", "i.*"), [F.col("key"), F.col("occurrence")], "place", [*by, "section", "change"])
+    return rows.select(*keys, "change", "occurrence", F.col("place").cast("int").alias("place"), *FIELDS)
 
 
 # Rendering

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from refgraph.operators import reports as ops
 from refgraph.operators.classify import ORPHANS
+from refgraph.operators.reference import placed
 from refgraph.plans.catalogue import query, table
 from refgraph.plans.rules import _pick
 
@@ -226,7 +227,5 @@ select root, section, key, occurrence::int as occurrence, change, (row_number()
 def report_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What changed between two reports of every root, in the order of a diff: the first lacks every fifth finding, the second every
     seventh."""
-    from pyspark.sql import Window
-
-    found = _findings(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("root", "section").orderBy("ord")))
+    found = placed(_findings(spark, sf_dir), [F.col("ord")], "n", ["root", "section"]).withColumn("ord", F.col("n"))
     return ops.changes(found.where("n % 5 <> 0"), found.where("n % 7 <> 0"), ["root"]).select("root", "section", "key", "occurrence", "change", "place")

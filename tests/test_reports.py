@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from refgraph.operators import reports as ops
+from refgraph.operators.reference import placed
 from refgraph.plans import compare
 from refgraph.plans import reports as queries
 from refgraph.sources import report as one
@@ -128,6 +129,22 @@ def test_changes(spark):
     assert got == {("/a", "f|x", "persisted", 1, 1), ("/a", "f|x", "resolved", 2, 1), ("/a", "f|y", "resolved", 1, 2), ("/a", "f|z", "introduced", 1, 1), ("/b", "f|x", "resolved", 1, 1)}
 
 
+def test_places_of_large_sections(spark):
+    """A section is numbered over several ranges, with repeats, nulls and small sections beside it, and no window holds one whole."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 50 > 0, "/big").when(F.col("id") % 100 > 0, "/small").alias("root"), F.pmod(F.xxhash64("id"), F.lit(1500)).alias("k"), "id")
+    got = placed(rows, [F.col("k")], "n", ["root"])
+    assert got.columns == ["root", "k", "id", "n"]
+    made = got.collect()
+    assert sorted((r.id for r in made)) == list(range(4000))
+    for root in ("/big", "/small", None):
+        mine = sorted((r.n, r.k) for r in made if r.root == root)
+        assert [n for n, _ in mine] == list(range(1, len(mine) + 1)) and [k for _, k in mine] == sorted(k for _, k in mine)
+    assert placed(rows.limit(0), [F.col("k")], "n", ["root"]).count() == 0
+    plan = queries.report_differences(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line and "row_number" in line]
+    assert not any("key" not in line.split("windowspecdefinition")[-1] for line in windows) and not any("place" in line for line in windows)
+
+
 def test_plans(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan(queries.report_previews(spark, DATA))
